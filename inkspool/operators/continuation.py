@@ -163,26 +163,28 @@ def merge(bubbles: DataFrame, panels: DataFrame, p: Params = DEFAULTS) -> DataFr
     return map_groups(rows, ["chapter_id"], ["panel_id"], run, MERGED)
 
 
-def merge_native(bubbles: DataFrame, panels: DataFrame, p: Params = DEFAULTS, longest: int = 150) -> DataFrame:
+def merge_native(bubbles: DataFrame, panels: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """CON3 without Python: greedy matches per pair of panels, then chains along them.
 
     Which pairs match depends on original bubbles only, so all pairs of panels
-    are matched at once; a chain runs through consecutive panels, at most
-    ``longest`` of them, and is followed by pointer doubling in log2(longest)
-    joins. Differs from the fold only where more than ``max_candidates``
-    bubbles wait at one edge.
+    are matched at once. A chapter's matches, in the order of panels, are then
+    folded into a map from each bubble to the first one of its chain. Differs
+    from the fold only where more than ``max_candidates`` bubbles wait at one
+    edge.
     """
+    name = lambda panel, order: panel.cast("long") * 1_000_000 + order
     links = greedy(matches(bubbles, panels, p))
-    order = W.partitionBy("chapter_id", "panel_id", "prev_order").orderBy("next_order")
-    nxt = links.withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    node = bubbles.select("chapter_id", "panel_id", "reading_order", "text", *BOX)
-    back = nxt.select("chapter_id", F.col("next_panel").alias("panel_id"), F.col("next_order").alias("reading_order"), F.col("panel_id").alias("hp"), F.col("prev_order").alias("ho"))
-    head = node.select("chapter_id", "panel_id", "reading_order").join(back, ["chapter_id", "panel_id", "reading_order"], "left")
-    head = head.select("chapter_id", "panel_id", "reading_order", F.coalesce("hp", "panel_id").alias("hp"), F.coalesce("ho", "reading_order").alias("ho"))
-    for _ in range(max(1, (longest - 1).bit_length())):
-        up = head.select("chapter_id", F.col("panel_id").alias("hp"), F.col("reading_order").alias("ho"), F.col("hp").alias("hp2"), F.col("ho").alias("ho2"))
-        head = head.join(up, ["chapter_id", "hp", "ho"]).select("chapter_id", "panel_id", "reading_order", F.col("hp2").alias("hp"), F.col("ho2").alias("ho"))
+    per = links.groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("panel_id", "prev_order", "next_panel", "next_order"))).alias("ls"))
+
+    def follow(heads: Column, x: Column) -> Column:
+        before, after = name(x["panel_id"], x["prev_order"]), name(x["next_panel"], x["next_order"])
+        return F.map_concat(heads, F.create_map(after, F.coalesce(F.try_element_at(heads, before), before)))
+
+    heads = per.select("chapter_id", F.aggregate("ls", F.expr("cast(map() as map<bigint, bigint>)"), follow).alias("heads"))
+    node = bubbles.select("chapter_id", "panel_id", "reading_order", "text", *BOX).join(heads, "chapter_id", "left")
+    own = name(F.col("panel_id"), F.col("reading_order"))
+    node = node.withColumn("head", F.coalesce(F.try_element_at("heads", own), own)).drop("heads")
     part = F.struct("panel_id", "reading_order", "text", *BOX)
-    chains = node.join(head, ["chapter_id", "panel_id", "reading_order"]).groupBy("chapter_id", "hp", "ho").agg(F.array_sort(F.collect_list(part)).alias("ps"))
+    chains = node.groupBy("chapter_id", "head").agg(F.array_sort(F.collect_list(part)).alias("ps"))
     last = F.element_at("ps", -1)
-    return chains.select("chapter_id", last["panel_id"].alias("panel_id"), F.col("ho").alias("reading_order"), F.array_join(F.transform("ps", lambda x: x["text"]), " ").alias("text"), *[last[c].alias(c) for c in BOX], F.size("ps").alias("parts"))
+    return chains.select("chapter_id", last["panel_id"].alias("panel_id"), F.col("ps")[0]["reading_order"].alias("reading_order"), F.array_join(F.transform("ps", lambda x: x["text"]), " ").alias("text"), *[last[c].alias(c) for c in BOX], F.size("ps").alias("parts"))
