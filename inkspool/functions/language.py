@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicon
-from .text import fold, rx, strip, sub, tokens
+from .text import fold, let, rx, strip, sub, tokens
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -24,23 +24,32 @@ def _mean(scores: Column, n: Column, empty: float) -> Column:
 
 def dictionary_ratio(text: Column, token_list: Column | None = None) -> Column:
     """LNG1: share of tokens in the dictionary."""
-    t = tokens(text) if token_list is None else token_list
-    known = F.filter(t, lambda w: w.isin(*sorted(lexicon.DICTIONARY)))
-    return ratio(F.size(known), F.size(t))
+    known = sorted(lexicon.DICTIONARY)
+    return let(tokens(text) if token_list is None else token_list, lambda t: ratio(F.size(F.filter(t, lambda w: w.isin(*known))), F.size(t)))
 
 
 def alphabet_ratio(text: Column) -> Column:
     """LNG2: share of letters among characters other than the space."""
     shown = F.length(F.replace(text, F.lit(" "), F.lit("")))
-    return ratio(F.length(sub(text, r"[^\p{L}]", "")), shown)
+    return ratio(F.length(sub(text, r"[^\p{L}]+", "")), shown)
 
 
 def word_frequency(text: Column, token_list: Column | None = None) -> Column:
     """LNG3: mean score of the tokens."""
-    t = tokens(text) if token_list is None else token_list
     table, known = _table(lexicon.WORD_SCORES), sorted(lexicon.WORD_SCORES)
-    score = F.transform(t, lambda w: F.when(w.isin(*known), F.try_element_at(table, w)).otherwise(F.lit(lexicon.UNKNOWN_WORD)))
-    return _mean(score, F.size(t), lexicon.UNKNOWN_WORD)
+
+    def score(w: Column) -> Column:
+        return F.when(w.isin(*known), F.try_element_at(table, w)).otherwise(F.lit(lexicon.UNKNOWN_WORD))
+
+    return let(tokens(text) if token_list is None else token_list, lambda t: _mean(F.transform(t, score), F.size(t), lexicon.UNKNOWN_WORD))
+
+
+def _trigram_pattern() -> str:
+    """Lookahead for the scored trigrams, branching on their first letter."""
+    by_first: dict[str, list[str]] = {}
+    for t in sorted(lexicon.TRIGRAM_SCORES):
+        by_first.setdefault(t[0], []).append(t[1:])
+    return "(?=(" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + "))"
 
 
 def trigram_score(text: Column) -> Column:
@@ -49,30 +58,38 @@ def trigram_score(text: Column) -> Column:
     One pass of a lookahead finds the scored trigrams; all others count the
     same, so positions are never cut out one by one.
     """
-    s = sub(fold(text), r"[^a-z]", "")
-    n = F.length(s) - 2
-    hits = F.regexp_extract_all(s, F.lit("(?=(" + "|".join(sorted(lexicon.TRIGRAM_SCORES)) + "))"), 1)
-    table = _table(lexicon.TRIGRAM_SCORES)
-    total = F.aggregate(hits, F.lit(0.0), lambda a, t: a + F.try_element_at(table, t))
-    return F.when(n > 0, (total + (n - F.size(hits)) * lexicon.UNKNOWN_TRIGRAM) / n).otherwise(F.lit(lexicon.UNKNOWN_TRIGRAM))
+    table, pattern = _table(lexicon.TRIGRAM_SCORES), F.lit(_trigram_pattern())
+
+    def score(s: Column, hits: Column) -> Column:
+        n = F.length(s) - 2
+        total = F.aggregate(hits, F.lit(0.0), lambda a, t: a + F.try_element_at(table, t))
+        return F.when(n > 0, (total + (n - F.size(hits)) * lexicon.UNKNOWN_TRIGRAM) / n).otherwise(F.lit(lexicon.UNKNOWN_TRIGRAM))
+
+    return let(sub(F.lower(text), "[^a-z]+", ""), lambda s: let(F.regexp_extract_all(s, pattern, 1), lambda hits: score(s, hits)))
 
 
 def ocr_noise(text: Column) -> Column:
     """LNG5: 0 for clean text to 1 for noise. A run counts three characters, however long it is."""
-    shown = F.replace(text, F.lit(" "), F.lit(""))
-    n = F.length(shown)
-    runs = F.size(F.regexp_extract_all(text, F.lit(rx(r"(.)\1{2,}")), 0))
-    letters_digits = F.length(sub(text, r"[^\p{L}\p{N}]", ""))
-    symbols = ratio(n - letters_digits, n)
-    alpha = alphabet_ratio(text)
-    noise = (
-        F.when(runs > 0, F.least(F.lit(1.0), runs * 3.0 / F.length(text)) * 0.4).otherwise(0.0)
-        + F.when(symbols > 0.4, (symbols - 0.4) * 0.5).otherwise(0.0)
-        + F.when(alpha < 0.3, (0.3 - alpha) * 0.3).otherwise(0.0)
-        + F.when((F.size(F.array_distinct(F.split(shown, ""))) <= 2) & (F.length(strip(text)) > 2), 0.5).otherwise(0.0)
-        + F.when((n > 0) & (letters_digits == 0), 0.6).otherwise(0.0)
+
+    def noise(shown: Column, runs: Column, letters: Column, both: Column) -> Column:
+        n = F.length(shown)
+        symbols, alpha = ratio(n - both, n), ratio(letters, n)
+        return (
+            F.when(runs > 0, F.least(F.lit(1.0), runs * 3.0 / F.length(text)) * 0.4).otherwise(0.0)
+            + F.when(symbols > 0.4, (symbols - 0.4) * 0.5).otherwise(0.0)
+            + F.when(alpha < 0.3, (0.3 - alpha) * 0.3).otherwise(0.0)
+            + F.when((F.size(F.array_distinct(F.split(shown, ""))) <= 2) & (F.length(strip(text)) > 2), 0.5).otherwise(0.0)
+            + F.when((n > 0) & (both == 0), 0.6).otherwise(0.0)
+        )
+
+    parts = F.struct(
+        F.replace(text, F.lit(" "), F.lit("")).alias("shown"),
+        F.size(F.regexp_extract_all(text, F.lit(rx(r"(.)\1{2,}")), 0)).alias("runs"),
+        F.length(sub(text, r"[^\p{L}]+", "")).alias("letters"),
+        F.length(sub(text, r"[^\p{L}\p{N}]+", "")).alias("both"),
     )
-    return F.when(text.isNull(), F.lit(None)).when(strip(text) == "", 1.0).otherwise(F.least(F.lit(1.0), noise))
+    score = let(parts, lambda x: F.least(F.lit(1.0), noise(x["shown"], x["runs"], x["letters"], x["both"])))
+    return F.when(text.isNull(), F.lit(None)).when(strip(text) == "", 1.0).otherwise(score)
 
 
 def punctuation_count(text: Column) -> Column:

@@ -1,7 +1,9 @@
 """Text normalisation as Catalyst expressions (TXT1 to TXT13); null stays null.
 
 Patterns carry (?Ud): Unicode classes, and only LF ends a line, as in engines
-whose strings are Unicode throughout.
+whose strings are Unicode throughout. Patterns with something before them begin
+with the rarer character and look back from behind it, so that most positions
+fail on the first test.
 """
 
 from __future__ import annotations
@@ -17,6 +19,11 @@ def rx(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sub(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(rx(pattern)), F.lit(by))
 
@@ -30,14 +37,14 @@ def normalize(text: Column) -> Column:
     """TXT1: pauses, noise, symbols and dashes for speech."""
     t = sub(text, r"\.{3,}", " ")
     t = F.replace(t, F.lit("…"), F.lit(" "))
-    t = sub(t, r"(?<=[a-zA-Z])\.{1,2}(?=[a-zA-Z])", " ")
+    t = sub(t, r"\.(?<=[a-zA-Z]\.)\.?(?=[a-zA-Z])", " ")
     t = sub(t, r"([!?])\1{2,}", "$1")
-    t = sub(t, r"(?<=[a-zA-Z])[~`{}\[\]|\\]+(?=[a-zA-Z])", " ")
+    t = sub(t, r"[~`{}\[\]|\\](?<=[a-zA-Z].)[~`{}\[\]|\\]*(?=[a-zA-Z])", " ")
     t = sub(t, r"[~`{}\[\]|\\]", "")
     for symbol, word in SPOKEN:
         t = F.replace(t, F.lit(symbol), F.lit(f" {word} "))
     t = sub(t, r"\s+-\s+", " ")
-    t = sub(t, r"(?<=[a-zA-Z])--+(?=[a-zA-Z])", " ")
+    t = sub(t, r"-(?<=[a-zA-Z]-)-+(?=[a-zA-Z])", " ")
     t = strip(sub(t, r"\s+", " "))
     t = sub(t, r"\s+([!?.,;:])", "$1")
     t = sub(t, r"([.!?])([A-Z])", "$1 $2")
@@ -54,9 +61,9 @@ def clean_artifacts(text: Column) -> Column:
 def fix_ocr_errors(text: Column) -> Column:
     """TXT3: digits read for letters, and numbers stuck before a word."""
     for digit, upper, lower in (("0", "O", "o"), ("1", "I", "l")):
-        text = sub(text, f"(?<=[A-Z]){digit}(?=[A-Z])", upper)
-        text = sub(text, f"(?<=[a-z]){digit}(?=[a-z])", lower)
-    return sub(text, r"\b\d+(?=[a-zA-Z])", "")
+        text = sub(text, f"{digit}(?<=[A-Z]{digit})(?=[A-Z])", upper)
+        text = sub(text, f"{digit}(?<=[a-z]{digit})(?=[a-z])", lower)
+    return sub(text, r"\d(?<=\b\d)\d*(?=[a-zA-Z])", "")
 
 
 def limit_repeats(text: Column, most: int = 2) -> Column:
@@ -66,9 +73,9 @@ def limit_repeats(text: Column, most: int = 2) -> Column:
 
 def fix_corruptions(text: Column) -> Column:
     """TXT5: digits and symbols merged into words."""
-    t = sub(text, r"\b\d+(?=[a-zA-Z])", "")
-    t = sub(t, r"(?<=[a-zA-Z])\d+\b", "")
-    t = sub(t, r"(?<=[a-zA-Z])\d+(?=[a-zA-Z])", "")
+    t = sub(text, r"\d(?<=\b\d)\d*(?=[a-zA-Z])", "")
+    t = sub(t, r"\d(?<=[a-zA-Z]\d)\d*\b", "")
+    t = sub(t, r"\d(?<=[a-zA-Z]\d)\d*(?=[a-zA-Z])", "")
     t = sub(t, r"^[^a-zA-Z]+(?=[a-zA-Z])", "")
     return strip(sub(t, r"\s+", " "))
 

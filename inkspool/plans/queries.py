@@ -8,11 +8,17 @@ from ..functions import geometry as g
 from ..functions import language as lng
 from ..functions import text as txt
 from ..operators import audio, classify, continuation, grouping
+from ..operators.lineage import checkpointed
 from ..params import DEFAULTS, TEXT_WEIGHTS, Params, scaled_text_weights
 from ..sources import images, ocr
 from ..sources.fixtures import VIRTUAL_SQL, table, virtual_panels, virtual_words
 from . import chapter, sql
 
+def r6(value) -> F.Column:
+    """Six digits, halves of the last one settled before float noise can: so in the SQL."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + 1e-9, 6)
+
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -110,9 +116,9 @@ def txt13(spark, sf_dir):
 def _feature_query(name, fn, oracle, with_tokens=False):
     source = f"{DECORATED_SQL}, t AS (SELECT *, {sql.tokens('text')} AS tok FROM d)"
 
-    @query(name, f"WITH {source} SELECT doc_id, round({oracle('tok' if with_tokens else 'text')}, 6) AS score FROM t")
+    @query(name, f"WITH {source} SELECT doc_id, round({oracle('tok' if with_tokens else 'text')} + 1e-9::DOUBLE, 6) AS score FROM t")
     def run(spark, sf_dir):
-        return decorated(spark, sf_dir).select("doc_id", F.round(fn(F.col("text")), 6).alias("score"))
+        return decorated(spark, sf_dir).select("doc_id", r6(fn(F.col("text"))).alias("score"))
 
 
 _feature_query("lng1_dictionary_ratio", lng.dictionary_ratio, sql.dictionary_ratio, True)
@@ -147,10 +153,10 @@ NORM_SQL = """n AS (SELECT doc_id, lang,
 TEXT_SCORE_SQL = " + ".join(f"{w}::DOUBLE * CAST({k} AS DOUBLE)" for k, w in TEXT_WEIGHTS.items())
 
 
-@query("lng6_language_features", f"WITH {RAW_SQL} SELECT doc_id, {', '.join(f'round({k}, 6) AS {k}' for k in TEXT_WEIGHTS)} FROM f")
+@query("lng6_language_features", f"WITH {RAW_SQL} SELECT doc_id, {', '.join(f'round({k} + 1e-9::DOUBLE, 6) AS {k}' for k in TEXT_WEIGHTS)} FROM f")
 def lng6(spark, sf_dir):
     d = decorated(spark, sf_dir).withColumn("f", lng.extract(F.col("text")))
-    return d.select("doc_id", *[F.round(F.col("f")[k], 6).alias(k) for k in TEXT_WEIGHTS])
+    return d.select("doc_id", *[r6(F.col("f")[k]).alias(k) for k in TEXT_WEIGHTS])
 
 
 SHORT = ["No!", "OH NO", "stop", "Search", "well...", "WAIT", "Please?", "garden gate", "yes sir now", "..."]
@@ -160,29 +166,29 @@ SHORT = ["No!", "OH NO", "stop", "Search", "well...", "WAIT", "Please?", "garden
     "lng7_short_dialogue",
     f"WITH s AS (SELECT doc_id, [{', '.join(sql.q(x) for x in SHORT)}][doc_id % {len(SHORT)} + 1] AS text FROM documents), t AS (SELECT *, {sql.tokens('text')} AS tok FROM s) "
     f"SELECT doc_id, text, CAST(CASE WHEN {sql.known_short('text', 'tok')} THEN greatest(len(tok), 3.0) ELSE len(tok) END AS DOUBLE) AS word_count, CAST(CASE WHEN {sql.known_short('text', 'tok')} THEN 1.0 ELSE {sql.dictionary_ratio('tok')} END AS DOUBLE) AS dictionary_ratio, "
-    f"round(CAST(CASE WHEN {sql.known_short('text', 'tok')} THEN greatest({sql.word_frequency('tok')}, 2.5) ELSE {sql.word_frequency('tok')} END AS DOUBLE), 6) AS word_frequency_score, CAST(CASE WHEN {sql.loud('text', 'tok')} THEN greatest({sql.punctuation_count('text')}, 2.0) ELSE {sql.punctuation_count('text')} END AS DOUBLE) AS punctuation_count FROM t",
+    f"round(CAST(CASE WHEN {sql.known_short('text', 'tok')} THEN greatest({sql.word_frequency('tok')}, 2.5) ELSE {sql.word_frequency('tok')} END AS DOUBLE) + 1e-9::DOUBLE, 6) AS word_frequency_score, CAST(CASE WHEN {sql.loud('text', 'tok')} THEN greatest({sql.punctuation_count('text')}, 2.0) ELSE {sql.punctuation_count('text')} END AS DOUBLE) AS punctuation_count FROM t",
 )
 def lng7(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*[F.lit(x) for x in SHORT]), (F.col("doc_id") % len(SHORT) + 1).cast("int")).alias("text"))
     d = d.withColumn("f", lng.extract(F.col("text"))).withColumn("f", lng.boosted(F.col("text"), F.col("f")))
-    return d.select("doc_id", "text", "f.word_count", "f.dictionary_ratio", F.round("f.word_frequency_score", 6).alias("word_frequency_score"), "f.punctuation_count")
+    return d.select("doc_id", "text", "f.word_count", "f.dictionary_ratio", r6("f.word_frequency_score").alias("word_frequency_score"), "f.punctuation_count")
 
 
-@query("cls7_normalized_features", f"WITH {RAW_SQL}, {NORM_SQL} SELECT doc_id, {', '.join(f'round(CAST({k} AS DOUBLE), 6) AS {k}' for k in TEXT_WEIGHTS)} FROM n")
+@query("cls7_normalized_features", f"WITH {RAW_SQL}, {NORM_SQL} SELECT doc_id, {', '.join(f'round(CAST({k} AS DOUBLE) + 1e-9::DOUBLE, 6) AS {k}' for k in TEXT_WEIGHTS)} FROM n")
 def cls7(spark, sf_dir):
     d = classify.classify_texts(decorated(spark, sf_dir))
-    return d.select("doc_id", *[F.round(F.col("norm")[k], 6).alias(k) for k in TEXT_WEIGHTS])
+    return d.select("doc_id", *[r6(F.col("norm")[k]).alias(k) for k in TEXT_WEIGHTS])
 
 
-@query("cls8_text_score", f"WITH {RAW_SQL}, {NORM_SQL} SELECT doc_id, round({TEXT_SCORE_SQL}, 6) AS score FROM n")
+@query("cls8_text_score", f"WITH {RAW_SQL}, {NORM_SQL} SELECT doc_id, round({TEXT_SCORE_SQL} + 1e-9::DOUBLE, 6) AS score FROM n")
 def cls8(spark, sf_dir):
-    return classify.classify_texts(decorated(spark, sf_dir)).select("doc_id", F.round("score", 6).alias("score"))
+    return classify.classify_texts(decorated(spark, sf_dir)).select("doc_id", r6("score").alias("score"))
 
 
-@query("cls9_scaled_weights", "SELECT * FROM (VALUES " + ", ".join(f"({sql.q(k)}, round({v / 1.5}::DOUBLE, 6))" for k, v in (TEXT_WEIGHTS | {"bbox_area": 0.58}).items()) + ") AS v(feature, weight)")
+@query("cls9_scaled_weights", "SELECT * FROM (VALUES " + ", ".join(f"({sql.q(k)}, round({v / 1.5}::DOUBLE + 1e-9::DOUBLE, 6))" for k, v in (TEXT_WEIGHTS | {"bbox_area": 0.58}).items()) + ") AS v(feature, weight)")
 def cls9(spark, sf_dir):
     scaled = scaled_text_weights(TEXT_WEIGHTS | {"bbox_area": 0.58})
-    return spark.createDataFrame(list(scaled.items()), "feature string, weight double").select("feature", F.round("weight", 6).alias("weight"))
+    return spark.createDataFrame(list(scaled.items()), "feature string, weight double").select("feature", r6("weight").alias("weight"))
 
 
 @query("cls10_classify_text", f"WITH {RAW_SQL}, {NORM_SQL}, s AS (SELECT lang, {TEXT_SCORE_SQL} AS score FROM n) SELECT lang, CASE WHEN score >= 0.55::DOUBLE THEN 'dialogue' ELSE 'background' END AS label, count(*) AS texts FROM s GROUP BY 1, 2")
@@ -266,9 +272,9 @@ def ab():
     return g.Box.of("a_"), g.Box.of("b_")
 
 
-@query("geo3_vertical_overlap", f"{NEIGHBOURS_SQL} SELECT {', '.join(KEY)}, round({sql.vertical_overlap('a_', 'b_')}, 6) AS overlap FROM nb")
+@query("geo3_vertical_overlap", f"{NEIGHBOURS_SQL} SELECT {', '.join(KEY)}, round({sql.vertical_overlap('a_', 'b_')} + 1e-9::DOUBLE, 6) AS overlap FROM nb")
 def geo3(spark, sf_dir):
-    return neighbours(spark, sf_dir).select(*KEY, F.round(g.vertical_overlap(*ab()), 6).alias("overlap"))
+    return neighbours(spark, sf_dir).select(*KEY, r6(g.vertical_overlap(*ab())).alias("overlap"))
 
 
 @query("geo4_gaps", f"{NEIGHBOURS_SQL} SELECT {', '.join(KEY)}, {sql.horizontal_gap('a_', 'b_')} AS gap_h, {sql.vertical_gap('a_', 'b_')} AS gap_v FROM nb")
@@ -276,24 +282,24 @@ def geo4(spark, sf_dir):
     return neighbours(spark, sf_dir).select(*KEY, g.horizontal_gap(*ab()).alias("gap_h"), g.vertical_gap(*ab()).alias("gap_v"))
 
 
-@query("geo5_horizontal_alignment", f"{NEIGHBOURS_SQL} SELECT {', '.join(KEY)}, round({sql.horizontal_alignment('a_', 'b_')}, 6) AS alignment FROM nb")
+@query("geo5_horizontal_alignment", f"{NEIGHBOURS_SQL} SELECT {', '.join(KEY)}, round({sql.horizontal_alignment('a_', 'b_')} + 1e-9::DOUBLE, 6) AS alignment FROM nb")
 def geo5(spark, sf_dir):
-    return neighbours(spark, sf_dir).select(*KEY, F.round(g.horizontal_alignment(*ab()), 6).alias("alignment"))
+    return neighbours(spark, sf_dir).select(*KEY, r6(g.horizontal_alignment(*ab())).alias("alignment"))
 
 
-@query("geo6_width_similarity", f"{NEIGHBOURS_SQL} SELECT {', '.join(KEY)}, round({sql.width_similarity('a_', 'b_')}, 6) AS similarity FROM nb")
+@query("geo6_width_similarity", f"{NEIGHBOURS_SQL} SELECT {', '.join(KEY)}, round({sql.width_similarity('a_', 'b_')} + 1e-9::DOUBLE, 6) AS similarity FROM nb")
 def geo6(spark, sf_dir):
-    return neighbours(spark, sf_dir).select(*KEY, F.round(g.width_similarity(*ab()), 6).alias("similarity"))
+    return neighbours(spark, sf_dir).select(*KEY, r6(g.width_similarity(*ab())).alias("similarity"))
 
 
 @query(
     "geo7_box_ratios",
-    f'{W_SQL} SELECT w.chapter_id, w.panel_id, word_idx, round(CAST((w."right" - w."left") * (bottom - top) AS DOUBLE) / (p.width * p.height), 6) AS area_ratio, round(CAST("right" - "left" AS DOUBLE) / (bottom - top), 6) AS aspect, round(CAST(length(text) AS DOUBLE) / (("right" - "left") * (bottom - top)), 6) AS density FROM words w JOIN panels p USING (chapter_id, panel_id)',
+    f'{W_SQL} SELECT w.chapter_id, w.panel_id, word_idx, round(CAST((w."right" - w."left") * (bottom - top) AS DOUBLE) / (p.width * p.height) + 1e-9::DOUBLE, 6) AS area_ratio, round(CAST("right" - "left" AS DOUBLE) / (bottom - top) + 1e-9::DOUBLE, 6) AS aspect, round(CAST(length(text) AS DOUBLE) / (("right" - "left") * (bottom - top)) + 1e-9::DOUBLE, 6) AS density FROM words w JOIN panels p USING (chapter_id, panel_id)',
 )
 def geo7(spark, sf_dir):
     w, p = words_and_panels(spark, sf_dir)
     b = g.Box.of()
-    return w.join(p, ["chapter_id", "panel_id"]).select(*KEY, F.round(g.area_ratio(b, F.col("width").cast("long") * F.col("height")), 6).alias("area_ratio"), F.round(g.aspect_ratio(b), 6).alias("aspect"), F.round(g.text_density(F.col("text"), b), 6).alias("density"))
+    return w.join(p, ["chapter_id", "panel_id"]).select(*KEY, r6(g.area_ratio(b, F.col("width").cast("long") * F.col("height"))).alias("area_ratio"), r6(g.aspect_ratio(b)).alias("aspect"), r6(g.text_density(F.col("text"), b)).alias("density"))
 
 
 @query("join1_word_edges", f"{W_SQL}, {EDGES_SQL} SELECT * FROM edges")
@@ -440,15 +446,15 @@ def sized_bubbles(spark, sf_dir):
     return grouping.group_into_bubbles(w).join(p, ["chapter_id", "panel_id"]).withColumn("image_area", F.col("width").cast("long") * F.col("height"))
 
 
-@query("cls1_box_features", f"{WORD_BOX_SQL} SELECT {WORD_KEY}, {', '.join(f'round({k}, 6) AS {k}' for k in BOX_FEATURES)} FROM b7")
+@query("cls1_box_features", f"{WORD_BOX_SQL} SELECT {WORD_KEY}, {', '.join(f'round({k} + 1e-9::DOUBLE, 6) AS {k}' for k in BOX_FEATURES)} FROM b7")
 def cls1(spark, sf_dir):
     d = classify.with_box_features(sized_words(spark, sf_dir), F.col("image_area"))
-    return d.select(*KEY, *[F.round(F.col("features")[k], 6).alias(k) for k in BOX_FEATURES])
+    return d.select(*KEY, *[r6(F.col("features")[k]).alias(k) for k in BOX_FEATURES])
 
 
-@query("cls2_weighted_score", f"{BUBBLE_BOX_SQL} SELECT {BUBBLE_KEY}, round(score, 6) AS score FROM scored")
+@query("cls2_weighted_score", f"{BUBBLE_BOX_SQL} SELECT {BUBBLE_KEY}, round(score + 1e-9::DOUBLE, 6) AS score FROM scored")
 def cls2(spark, sf_dir):
-    return classify.score_boxes(sized_bubbles(spark, sf_dir), F.col("image_area")).select(*grouping.PANEL, "reading_order", F.round("score", 6).alias("score"))
+    return classify.score_boxes(sized_bubbles(spark, sf_dir), F.col("image_area")).select(*grouping.PANEL, "reading_order", r6("score").alias("score"))
 
 
 @query("cls3_weight_validation", "SELECT * FROM (VALUES ('default', true), ('off by 0.0005', true), ('off by 0.01', false)) AS v(weights, accepted)")
@@ -463,9 +469,9 @@ def cls3(spark, sf_dir):
     return spark.createDataFrame(rows, "weights string, accepted boolean")
 
 
-@query("cls4_classify_regions", f"{WORD_BOX_SQL} SELECT {WORD_KEY}, round(score, 6) AS score, score >= 0.60::DOUBLE AS is_text_box FROM scored")
+@query("cls4_classify_regions", f"{WORD_BOX_SQL} SELECT {WORD_KEY}, round(score + 1e-9::DOUBLE, 6) AS score, score >= 0.60::DOUBLE AS is_text_box FROM scored")
 def cls4(spark, sf_dir):
-    return classify.score_boxes(sized_words(spark, sf_dir), F.col("image_area")).select(*KEY, F.round("score", 6).alias("score"), "is_text_box")
+    return classify.score_boxes(sized_words(spark, sf_dir), F.col("image_area")).select(*KEY, r6("score").alias("score"), "is_text_box")
 
 
 @query("cls5_filter_text_boxes", f"{WORD_BOX_SQL} SELECT {WORD_KEY} FROM scored WHERE score >= 0.60::DOUBLE")
@@ -642,7 +648,7 @@ def pipe(spark, sf_dir):
 @query("pipe_chapter_status")
 def pipe_status(spark, sf_dir):
     w, p = words_and_panels(spark, sf_dir)
-    d = chapter.dialogue_bubbles(w, p)
+    d = checkpointed(chapter.dialogue_bubbles(w, p))
     merged = continuation.merge(d, p)
     spoken = merged.select("chapter_id", txt.for_speech(F.col("text")).alias("text")).where(F.col("text") != "")
     return chapter.status(p, w, d, spoken)
