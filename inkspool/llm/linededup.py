@@ -14,6 +14,9 @@ The arrays hold only shared lines. Their size is measured; up to
 sent to the shards instead, and documents that lose lines are joined with the
 hashes to drop. Both ways give the same rows.
 
+With ``long_words``, lines of at least so many words are shared from
+``LONG_DOCS`` documents on, whatever ``min_docs`` asks of shorter ones.
+
 Defined cases: lines end at LF and are compared without spaces, tabs and CR
 around them; blank lines are never counted or dropped; within its owner a line
 stays as often as it occurs; rows with one id count as one document each but
@@ -34,6 +37,8 @@ from .common import cut, mix64, read
 
 #: Documents that must share a line before it counts as boilerplate.
 MIN_DOCS = 6
+#: Documents that must share a line of at least ``long_words`` words.
+LONG_DOCS = 2
 LINES_PER_SHARD = 200_000
 #: Largest total size of the arrays that is broadcast.
 MAX_BROADCAST = 64 << 20
@@ -48,6 +53,11 @@ def line_hashes(text: bytes) -> list[int]:
     return [h(x) if x else -1 for x in (y.strip(BLANKS) for y in text.split(b"\n"))]
 
 
+def long_hashes(text: bytes, words: int) -> set[int]:
+    """Hashes of the lines of a text that have at least so many words."""
+    return {xxhash.xxh3_128_intdigest(y.strip(BLANKS)) for y in text.split(b"\n") if len(y.split()) >= words}
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -101,25 +111,36 @@ def probe_mph(keys: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
     return np.where(p < 0, -1 - p, _slots(keys, np.maximum(p, 0), n))
 
 
-def shared_lines(docs: DataFrame, min_docs: int, id_col: str, text_col: str) -> DataFrame:
-    """(h1, h2, docs, owner) of the lines that at least min_docs documents have."""
+def shared_lines(docs: DataFrame, min_docs: int, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
+    """(h1, h2, docs, owner) of the lines that at least min_docs documents have, long ones LONG_DOCS."""
 
     def lines(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            row, a, c = [], [], []
+            row, a, c, far = [], [], [], []
             for i in range(len(texts)):
                 v = texts[i].as_buffer()
                 if v is None:
                     continue
-                for h in set(line_hashes(v.to_pybytes())) - {-1}:
+                raw = v.to_pybytes()
+                long = long_hashes(raw, long_words) if long_words is not None else ()
+                for h in set(line_hashes(raw)) - {-1}:
                     row.append(i)
                     a.append(_signed(h >> 64))
                     c.append(_signed(h & 0xFFFFFFFFFFFFFFFF))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), ids.take(pa.array(row, pa.int64()))], ["h1", "h2", "id"])
+                    far.append(h in long)
+            cols = [pa.array(a, pa.int64()), pa.array(c, pa.int64()), ids.take(pa.array(row, pa.int64()))]
+            if long_words is not None:
+                cols.append(pa.array(far, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "id", "long"][: len(cols)])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(lines, "h1 long, h2 long, id long")
-    return rows.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min("id").alias("owner")).where(F.col("docs") >= min_docs)
+    schema = "h1 long, h2 long, id long" + (", long boolean" if long_words is not None else "")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(lines, schema)
+    counts = [F.count("*").alias("docs"), F.min("id").alias("owner")]
+    if long_words is None:
+        return rows.groupBy("h1", "h2").agg(*counts).where(F.col("docs") >= min_docs)
+    lines_ = rows.groupBy("h1", "h2").agg(*counts, F.max("long").alias("long"))
+    return lines_.where((F.col("docs") >= min_docs) | (F.col("long") & (F.col("docs") >= LONG_DOCS))).drop("long")
 
 
 SHARD_SCHEMA = "shard int, n long, pilots binary, prints binary, counts binary, owners binary"
@@ -221,13 +242,17 @@ def _rewritten(batch: pa.RecordBatch, id_at: int, text_at: int, drop, lost_at: i
     return pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col="doc_id", text_col="text", lost_col: str | None = None, max_broadcast: int = MAX_BROADCAST, lines_per_shard: int = LINES_PER_SHARD) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col="doc_id", text_col="text", lost_col: str | None = None, max_broadcast: int = MAX_BROADCAST, lines_per_shard: int = LINES_PER_SHARD, long_words: int | None = None) -> DataFrame:
     """``docs`` with shared lines dropped from all but their owners; all columns stay.
 
     ``lost_col`` names an int column to add with the number of lines dropped.
+    ``long_words`` is the number of words from which LONG_DOCS documents are
+    enough; without it every line needs ``min_docs``.
     """
     spark = docs.sparkSession
-    lines = cut(shared_lines(docs, min_docs, id_col, text_col))
+    lines = cut(shared_lines(docs, min_docs, id_col, text_col, long_words))
+    if long_words is not None:  # the index has nothing below either bar
+        min_docs = min(min_docs, LONG_DOCS)
     blobs, shards = build_shards(lines, lines_per_shard)
     blobs = cut(blobs)
     size = blobs.agg(F.sum(F.length("pilots") + F.length("prints") + F.length("counts") + F.length("owners"))).first()[0] or 0

@@ -1,0 +1,17 @@
+"""Long lines that few documents share."""
+
+import pytest
+
+from inkspool.llm import linededup
+
+from .data import docs
+
+LONG = "a passage of twelve words that two documents have word for word"
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_long_lines_go_from_two_documents_on(spark, limit):
+    df = docs(spark, [(i, f"short one\n{LONG if i < 2 else i}\nown {i}", "en", "s") for i in range(4)])
+    got = {r.doc_id: (r.text, r.lost) for r in linededup.dedup_lines(df, lost_col="lost", max_broadcast=limit, long_words=10).collect()}
+    assert got == {0: (f"short one\n{LONG}\nown 0", 0), 1: ("short one\nown 1", 1), 2: ("short one\n2\nown 2", 0), 3: ("short one\n3\nown 3", 0)}
+    assert linededup.dedup_lines(df, lost_col="lost", max_broadcast=limit).where("lost > 0").count() == 0
