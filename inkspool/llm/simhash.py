@@ -14,7 +14,7 @@ whole group as soon as they exceed the limit. Every fingerprint is a query.
 
 Bits in a key and number of tables follow from the number of documents: keys
 grow by one bit whenever it doubles, so buckets stay alike, and tables are as
-many as bring the probability to find a pair ``DESIGN_BITS`` apart to
+many as bring the probability to find a pair ``MAX_BITS`` apart to
 ``RECALL``. Buckets have no cap.
 
 Groups come from large-star / small-star rounds over the found edges, so that
@@ -40,8 +40,8 @@ from .common import CHUNK_BYTES, cut, doc_chunks, drop_ids, mix64, read, text_by
 BITS, WORDS = 256, 4
 #: Fingerprints that differ in at most this many of 256 bits are near duplicates.
 MAX_BITS = 44
-#: The search is laid out to find pairs this far apart with probability RECALL.
-DESIGN_BITS, RECALL = 36, 0.97
+#: The search is laid out to find pairs MAX_BITS apart with probability RECALL.
+RECALL = 0.97
 #: Documents expected in a bucket of one table.
 BUCKET = 128
 FANOUTS = (2, 8, 64)
@@ -236,7 +236,7 @@ class GrayIndex:
 def layout(n: int) -> tuple[int, int]:
     """(bits in a key, tables) for n documents."""
     bits = max(1, round(math.log2(max(2, n) / BUCKET)))
-    p = math.prod((BITS - DESIGN_BITS - i) / (BITS - i) for i in range(bits))
+    p = math.prod((BITS - MAX_BITS - i) / (BITS - i) for i in range(bits))
     return bits, max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - p)))
 
 
