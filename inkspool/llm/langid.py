@@ -6,7 +6,8 @@ and a softmax over the languages follows. A document's language is the one with
 the highest mean log-probability over all its windows, weighted by their bytes.
 
 The network is trained in numpy on a bounded sample of labelled documents: the
-``TRAIN_DOCS`` smallest hashes of ids, ``TRAIN_WINDOWS`` windows of each. For
+``TRAIN_DOCS`` smallest hashes of ids, and the ``LANG_DOCS`` smallest of every
+language, so that each is a class; ``TRAIN_WINDOWS`` windows of each. For
 inference the filters are folded into tables over pairs of byte classes, so a
 filter of width 4 costs two lookups a byte.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import hash60, read, text_bytes
@@ -29,6 +31,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bounds of the training sample.
 TRAIN_DOCS = 1200
+#: Documents that a language has in the sample at least, if there are so many.
+LANG_DOCS = 50
 TRAIN_WINDOWS = 8
 EPOCHS = 6
 SEED = 7
@@ -154,12 +158,15 @@ def windows(data: np.ndarray, offsets: np.ndarray):
 
 
 def train(docs: DataFrame, id_col="doc_id", text_col="text", label_col="lang", train_docs: int = TRAIN_DOCS) -> ByteCnn | None:
-    """Network trained on at most ``train_docs`` labelled documents; None without labels."""
+    """Network trained on ``train_docs`` labelled documents and LANG_DOCS of each language; None without labels."""
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = [r[0] for r in labelled.select(F.col(id_col).alias("id")).orderBy(hash60(F.col("id")), "id").limit(train_docs).collect()]
+    keys = labelled.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(label_col).alias("l"), hash60(F.col(id_col)).alias("h"))
+    rank = F.row_number().over(W.partitionBy("l").orderBy("h", "id"))
+    few = {r[0] for r in keys.withColumn("nth", rank).where(F.col("nth") <= LANG_DOCS).select("id").collect()}
+    chosen = sorted(few | {r[0] for r in labelled.select(F.col(id_col).alias("id")).orderBy(hash60(F.col("id")), "id").limit(train_docs).collect()})
     if not chosen:
         return None
-    rows = labelled.where(F.col(id_col).isin(chosen)).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).limit(4 * train_docs)
+    rows = labelled.where(F.col(id_col).isin(chosen)).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).limit(4 * max(train_docs, len(chosen)))
     sample = sorted((r.l, r.t) for r in rows.collect() if r.t)
     langs = sorted({x for x, _ in sample})
     xs, ys = [], []
