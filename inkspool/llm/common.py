@@ -25,15 +25,24 @@ CHUNK_BYTES = 1 << 20
 MAX_FILTER_BITS = 1 << 27
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints that all machines share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    ``spark.checkpoint.dir`` is used as the cluster sets it; only where there
-    is none (local tests) a temporary folder is made.
+    Only where there is none and the master is local (tests), a temporary
+    folder is made; on a cluster that would be each machine's own disk.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ink-cp-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ink-cp-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder of the session."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -122,17 +131,30 @@ def maybe_member(spark: SparkSession, keys: DataFrame, hash_col: str):
     return probe
 
 
+def named(column: str) -> F.Column:
+    """A column of just that name, also one with dots or backticks in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column of ``df`` is called so already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of ``df`` whose id is not in ``ids`` (one column of the same name); null ids stay.
+    """Rows of ``df`` whose id is not in ``ids`` (its only column); null ids stay.
 
     Most rows are passed by a bitmap without moving; only those that it can't
     clear are shuffled to an exact anti join. So texts of kept rows don't move.
     """
-    mark = "__ink_h"
-    keys = ids.select(F.col(id_col).alias("__ink_id")).where("__ink_id is not null").distinct()
-    keys = cut(keys.withColumn(mark, F.xxhash64("__ink_id")))
-    probe = maybe_member(df.sparkSession, keys, mark)
-    probed = probe(F.xxhash64(F.col(id_col)))
+    key = fresh(df, "dropped_id")
+    keys = ids.toDF(key).where(named(key).isNotNull()).distinct()
+    keys = cut(keys.withColumn("hash", F.xxhash64(named(key))))
+    probe = maybe_member(df.sparkSession, keys, "hash")
+    probed = probe(F.xxhash64(named(id_col)))
     clear = df.where(~probed)
-    doubtful = df.where(probed).join(keys.select("__ink_id"), F.col(id_col) == F.col("__ink_id"), "left_anti")
+    doubtful = df.where(probed).join(keys.select(named(key)), named(id_col) == named(key), "left_anti")
     return clear.unionByName(doubtful)

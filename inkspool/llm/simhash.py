@@ -5,47 +5,65 @@ are near duplicates if their fingerprints differ in at most ``MAX_BITS`` bits;
 groups are the connected components, and the smallest id of each stays.
 
 Search: equal fingerprints are collapsed first, whatever their number. Then
-every fingerprint enters a number of tables, in each under a key of some of its
-bits (so any pair that agrees on the key of one table is compared). In a
-bucket the fingerprints are sorted by Gray rank and built into a tree: a node
-stores the bits that all below it share as mask and pattern, without those its
-parent has. A query accumulates differences from the root down, and leaves a
-whole group as soon as they exceed the limit. Every fingerprint is a query.
-
-Bits in a key and number of tables follow from the number of documents: keys
-grow by one bit whenever it doubles, so buckets stay alike, and tables are as
-many as bring the probability to find a pair ``MAX_BITS`` apart to
-``RECALL``. Buckets have no cap.
+every fingerprint enters ``TABLES`` tables: each of ``PERMUTATIONS`` fixed
+permutations of the bits is cut into keys of ``KEY_BITS``, and fingerprints
+that agree on a key form a bucket of its table. Keys and tables don't depend
+on the corpus, so which pairs are compared doesn't change when others come,
+and what is shuffled grows with the number of documents.
+
+A bucket is searched without loss. Its fingerprints are sorted by Gray rank;
+runs of them that share many bits become nodes, which store these bits as mask
+and pattern. A query adds its differences under a node's mask to those so far
+(none under the key) and leaves the whole node as soon as they exceed the
+limit; where even the bits that differ inside the node can't reach the limit,
+it takes the node as a whole; else it goes on to the rows. In a large bucket a
+few of its rows first gather all that are near them. What is connected that
+way needs no further comparison inside, so thousands of copies that differ
+cost one pass each. Every fingerprint is a query.
+
+A bucket of more than ``LEAF`` rows that this leaves unconnected is cut again
+by ``VIEWS`` further keys of ``VIEW_BITS``, which keep 0.99 of the pairs at the
+limit and more of the closer ones. Below that, which 300 million documents
+don't reach, a pair is found if and only if it shares a key.
 
 Groups come from large-star / small-star rounds over the found edges, so that
 chains and groups of thousands close in a few rounds.
 
 Defined cases: a null text, and one without a word, is in no group but its own;
 rows with one id are one document and stay or go together; rows with a null id
-are in no group; of equal fingerprints the smallest id leads.
+are in no group and stay; of equal fingerprints the smallest id leads; very
+long texts are read whole, in pieces; an empty table gives an empty result;
+ids may have any type that can be ordered, and other columns any name.
 """
 
 from __future__ import annotations
 
-import math
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, cut, doc_chunks, drop_ids, mix64, read, text_bytes
+from .common import CHUNK_BYTES, cut, doc_chunks, drop_ids, mix64, named, read, text_bytes
 
 BITS, WORDS = 256, 4
 #: Fingerprints that differ in at most this many of 256 bits are near duplicates.
 MAX_BITS = 44
-#: The search is laid out to find pairs MAX_BITS apart with probability RECALL.
-RECALL = 0.97
-#: Documents expected in a bucket of one table.
-BUCKET = 128
-FANOUTS = (2, 8, 64)
-PAIRS_AT_ONCE = 1 << 20
+#: Fixed layout: a pair shares one of the 80 keys with probability 0.98 at 44 differing bits, 0.996 at 40, 0.9995 at 36.
+KEY_BITS, PERMUTATIONS = 16, 5
+TABLES = PERMUTATIONS * BITS // KEY_BITS
+#: Bits that the rows of a node of more than two share, more than twice MAX_BITS, so that unrelated queries leave it.
+SHARED = 112
+#: Rows from which a bucket is searched on its own.
+LARGE = 256
+#: Rows from which a bucket is cut by further keys.
+LEAF, VIEW_BITS, VIEWS = 1 << 15, 12, 44
+LEADERS = 32
+PAIRS_AT_ONCE = 1 << 19
+#: Aimed size of a partition of the search.
+PART_BYTES = 24 << 20
 SEED = 20240229
 
 _WORD = np.zeros(256, bool)
@@ -133,190 +151,259 @@ def fingerprint_table(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
             mask = pa.array(has)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), *[pa.array(fp[has, k].view(np.int64)) for k in range(WORDS)]], ["id", *PRINTS])
 
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("t"))
-    return base.mapInArrow(run, "id long, " + ", ".join(f"{p} long" for p in PRINTS))
+    base = docs.where(named(id_col).isNotNull()).select(named(id_col).alias("id"), F.lower(named(text_col)).alias("t"))
+    return base.mapInArrow(run, T.StructType([base.schema["id"], *[T.StructField(p, T.LongType()) for p in PRINTS]]))
 
 
-def gray_rank(prints: np.ndarray) -> np.ndarray:
-    """Position of each fingerprint in the Gray sequence, as 4 words from the highest."""
-    out, parity = np.empty_like(prints), np.zeros(len(prints), np.uint64)
-    for k in range(prints.shape[1]):
-        x = prints[:, k].copy()
-        for s in (1, 2, 4, 8, 16, 32):
-            x ^= x >> np.uint64(s)
-        x ^= np.uint64(0) - parity
-        out[:, k] = x
-        parity = x & np.uint64(1)
-    return out
+def gray_rank(codes: np.ndarray) -> np.ndarray:
+    """Position of each uint64 in the Gray sequence."""
+    x = codes.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        x ^= x >> np.uint64(s)
+    return x
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1, dtype=np.int32)
 
 
+def labels(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Smallest member of the component of each of n nodes."""
+    label = np.arange(n)
+    while len(src):
+        a, b = label[src], label[dst]
+        apart = a != b
+        if not apart.any():
+            break
+        src, dst, a, b = src[apart], dst[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 class GrayIndex:
-    """Tree over the fingerprints of many buckets, given sorted by (bucket, Gray rank).
+    """Nodes over the fingerprints of many buckets, given sorted by (bucket, Gray rank).
 
-    ``levels[0]`` are the largest groups. A level has first and last row of each
-    node, the mask of the bits it adds to those of its parent, and their values.
+    Of 64, 8 or 2 rows that follow each other in a bucket, those become one
+    node that share SHARED bits; two rows always do. ``mask`` and ``value`` are
+    the bits that all rows of a node share, ``free`` is the number of the rest.
     """
 
     def __init__(self, prints: np.ndarray, bucket: np.ndarray):
         self.prints = prints
         n = len(prints)
         new = np.r_[True, bucket[1:] != bucket[:-1]]
-        self.bucket_start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        pos = np.arange(n) - self.bucket_start
-        ends = np.r_[np.flatnonzero(new)[1:], n]
-        self.bucket_end = ends[np.cumsum(new) - 1]
-        masks, levels = [], []
-        for fan in FANOUTS:  # from the smallest groups up
+        pos = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        first, mask, value, open_ = [], [], [], np.ones(n, bool)
+        for fan in (64, 8, 2):
             a = np.flatnonzero(new | (pos % fan == 0))
             same = np.bitwise_and.reduceat(prints, a, axis=0)
-            none = np.bitwise_and.reduceat(~prints, a, axis=0)
-            masks.append(same | none)
-            levels.append((a, np.r_[a[1:], n], same))
-        self.levels = []
-        for i in range(len(levels) - 1, -1, -1):
-            a, e, value = levels[i]
-            if i == len(levels) - 1:
-                own = masks[i]
+            m = same | np.bitwise_and.reduceat(~prints, a, axis=0)
+            size = np.diff(np.r_[a, n])
+            take = open_[a] & ((popcount(m) >= SHARED) | (fan == 2)) & ((size > 1) | (fan == 2))
+            open_ &= ~np.repeat(take, size)
+            first.append(a[take]), mask.append(m[take]), value.append(same[take])
+        first = np.concatenate(first)
+        order = np.argsort(first)
+        self.first, self.mask, self.value = first[order], np.concatenate(mask)[order], np.concatenate(value)[order]
+        self.end = np.r_[self.first[1:], n]
+        self.free = BITS - popcount(self.mask)
+        self.own = np.repeat(np.arange(len(self.first)), self.end - self.first)
+        ends = np.r_[np.flatnonzero(new)[1:], n]
+        self.last = np.searchsorted(self.first, ends)[np.cumsum(new) - 1]
+        self.asked = self.left = self.whole = 0
+
+    def inside(self, limit: int):
+        """Edges (i, j) within nodes."""
+        for k in np.flatnonzero(self.end - self.first > 2).tolist():
+            a, e = int(self.first[k]), int(self.end[k])
+            if self.free[k] > limit:
+                i, j = np.nonzero(np.triu(distances(self.prints[a:e], self.prints[a:e]) <= limit, 1))
+                yield a + i, a + j
             else:
-                own = masks[i] & ~masks[i + 1][np.searchsorted(levels[i + 1][0], a, side="right") - 1]
-            self.levels.append((a, e, own, value & own))
-        self.leaf_mask = ~masks[0][np.searchsorted(levels[0][0], np.arange(n), side="right") - 1]
-
-    def pairs(self, limit: int):
-        """Yields (i, j) arrays, i < j, of rows of one bucket at most ``limit`` bits apart."""
-        a, e = self.levels[0][:2]
-        q = np.arange(len(self.prints))
-        # a row asks for the top nodes of its bucket from its own node on: every pair is met once
-        own = np.searchsorted(a, q, side="right") - 1
-        last = np.searchsorted(a, self.bucket_end, side="left")
-        count = last - own
-        i = 0
-        run = np.cumsum(count)
-        while i < len(q):
+                yield np.full(e - a - 1, a), np.arange(a + 1, e)
+        two = self.first[(self.end - self.first == 2) & (self.free <= limit)]
+        yield two, two + 1
+
+    def edges(self, limit: int):
+        """Yields (i, j) arrays of rows of one bucket that are near: all such pairs, or a pair of each node taken whole."""
+        yield from self.inside(limit)
+        count = self.last - self.own - 1
+        run, i, n = np.cumsum(count), 0, len(self.prints)
+        while i < n:
             j = max(i + 1, int(np.searchsorted(run, (run[i - 1] if i else 0) + PAIRS_AT_ONCE, side="right")))
             c = count[i:j]
-            rows = np.repeat(q[i:j], c)
-            nodes = np.repeat(own[i:j], c) + np.arange(len(rows)) - np.repeat(np.cumsum(c) - c, c)
-            yield from self._descend(rows, nodes, np.zeros(len(rows), np.int32), 0, limit)
-            i = j
-
-    def _descend(self, rows, nodes, diff, level, limit):
-        a, e, mask, value = self.levels[level]
-        diff = diff + popcount((self.prints[rows] & mask[nodes]) ^ value[nodes])
-        keep = (diff <= limit) & (e[nodes] > rows + 1)
-        rows, nodes, diff = rows[keep], nodes[keep], diff[keep]
-        if not len(rows):
-            return
-        leaf = level == len(self.levels) - 1
-        below = np.arange(len(self.prints) + 1) if leaf else self.levels[level + 1][0]
-        first = np.searchsorted(below, a[nodes], side="left")
-        width = np.searchsorted(below, e[nodes], side="left") - first
-        ends = np.cumsum(width)
-        i = 0
-        while i < len(rows):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS_AT_ONCE, side="right")))
-            w = width[i:j]
-            r, d = np.repeat(rows[i:j], w), np.repeat(diff[i:j], w)
-            c = np.repeat(first[i:j], w) + np.arange(len(r)) - np.repeat(np.cumsum(w) - w, w)
-            if leaf:
-                late = c > r
-                r, c, d = r[late], c[late], d[late]
-                ok = d + popcount((self.prints[r] ^ self.prints[c]) & self.leaf_mask[c]) <= limit
-                if ok.any():
-                    yield r[ok], c[ok]
-            else:
-                yield from self._descend(r, c, d, level + 1, limit)
+            rows = np.repeat(np.arange(i, j), c)
+            nodes = np.repeat(self.own[i:j] + 1, c) + np.arange(len(rows)) - np.repeat(np.cumsum(c) - c, c)
+            diff = np.zeros(len(rows), np.uint8)
+            for w in range(WORDS):
+                diff += np.bitwise_count((self.prints[:, w][rows] ^ self.value[:, w][nodes]) & self.mask[:, w][nodes])
+            self.asked += len(rows)
+            yield from self.below(rows, nodes, diff, limit)
             i = j
 
-
-def layout(n: int) -> tuple[int, int]:
-    """(bits in a key, tables) for n documents."""
-    bits = max(1, round(math.log2(max(2, n) / BUCKET)))
-    p = math.prod((BITS - MAX_BITS - i) / (BITS - i) for i in range(bits))
-    return bits, max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - p)))
-
-
-def key_bits(bits: int, tables: int) -> np.ndarray:
-    """Bit positions of the key of each table, drawn without replacement per table."""
-    rng = np.random.default_rng(SEED)
-    return np.stack([rng.choice(BITS, bits, replace=False) for _ in range(tables)])
-
-
-def table_keys(prints: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """Keys of fingerprints in one table."""
-    key = np.zeros(len(prints), np.int64)
-    for p in positions.tolist():
-        key = (key << 1) | ((prints[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1)).astype(np.int64)
-    return key
-
-
-def _forest(i: np.ndarray, j: np.ndarray, parent: dict) -> list[tuple[int, int]]:
-    """Pairs that join two sets not yet joined; ``parent`` is changed."""
-
-    def root(x):
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = parent[p]
-            x = p
-        return x
-
-    out = []
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
+    def below(self, rows, nodes, diff, limit: int):
+        """Edges of queries with the rows of nodes, from the differences under the nodes' masks."""
+        keep = diff <= limit
+        self.left += len(keep) - int(keep.sum())
+        rows, nodes, diff = rows[keep], nodes[keep], diff[keep].astype(np.int32)
+        whole = diff + self.free[nodes] <= limit
+        self.whole += int(whole.sum())
+        yield rows[whole], self.first[nodes[whole]]
+        rows, nodes, diff = rows[~whole], nodes[~whole], diff[~whole]
+        width = self.end[nodes] - self.first[nodes]
+        r, k, d = (np.repeat(x, width) for x in (rows, nodes, diff))
+        c = self.first[k] + np.arange(len(r)) - np.repeat(np.cumsum(width) - width, width)
+        ok = d + popcount((self.prints[r] ^ self.prints[c]) & ~self.mask[k]) <= limit
+        yield r[ok], c[ok]
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of every row of a and every row of b."""
+    out = np.bitwise_count(a[:, 0, None] ^ b[None, :, 0]).astype(np.uint16)
+    for w in range(1, WORDS):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
     return out
 
 
-def bucket_edges(batches, limit: int = MAX_BITS):
-    """Edges (a, b) that span what is near within each bucket of a partition sorted by (tab, key)."""
-    held = None
-
-    def edges(table: pa.Table) -> pa.RecordBatch:
-        key = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in ("tab", "key")])
-        fp = np.ascontiguousarray(np.column_stack([table.column(p).to_numpy() for p in PRINTS]).view(np.uint64))
-        ids = table.column("id").to_numpy()
-        rank = gray_rank(fp)
-        order = np.lexsort((rank[:, 3], rank[:, 2], rank[:, 1], rank[:, 0], key[:, 1], key[:, 0]))
-        key, fp, ids = key[order], fp[order], ids[order]
-        bucket = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
-        parent: dict = {}
-        found = [pair for i, j in GrayIndex(fp, bucket).pairs(limit) for pair in _forest(i, j, parent)]
-        rows = np.array(found, np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(ids[rows[:, 0]]), pa.array(ids[rows[:, 1]])], ["a", "b"])
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([held, t]) if held is not None else t
-        if not len(t):
-            continue
-        tab, key = t.column("tab").to_numpy(), t.column("key").to_numpy()
-        whole = int(np.flatnonzero((tab != tab[-1]) | (key != key[-1]))[-1]) + 1 if (tab[0], key[0]) != (tab[-1], key[-1]) else 0
-        if whole:
-            yield edges(t.slice(0, whole))
-        held = t.slice(whole)
-    if held is not None and len(held):
-        yield edges(held)
+def gathered(prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from a few leaders to all rows near them, as long as leaders gather many; leaders are spread over the Gray order."""
+    alone, src, dst = np.ones(len(prints), bool), [], []
+    while True:
+        rest = np.flatnonzero(alone)
+        if len(rest) < 2 * LEADERS:
+            break
+        lead = rest[np.linspace(0, len(rest) - 1, LEADERS).astype(np.int64)]
+        i, j = np.nonzero(distances(prints[lead], prints) <= limit)
+        other = lead[i] != j
+        src.append(lead[i[other]]), dst.append(j[other])
+        alone[src[-1]] = alone[dst[-1]] = False
+        if len(rest) - alone.sum() < max(LEADERS, len(rest) // 64):
+            break
+    return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def large_bucket(prints: np.ndarray, limit: int, cut_again: bool = True) -> np.ndarray:
+    """Component of each row of one bucket, given in Gray order."""
+    n = len(prints)
+    src, dst = gathered(prints, limit)
+    label = labels(n, src, dst)
+    size = np.bincount(label, minlength=n)
+    group = np.where(size[label] > 1, label, -1)  # rows of one group are connected: only pairs of others are compared
+    if cut_again and (group == -1).sum() + len(np.unique(group)) > LEAF:
+        edges = [(src, dst), *views(prints, limit)]
+        return labels(n, *(np.concatenate([e[k] for e in edges]) for k in (0, 1)))
+    order = np.argsort(group, kind="stable")
+    p, g = prints[order], group[order]
+    index, found = GrayIndex(p, g), [(src, dst)]
+    lone = int(np.searchsorted(g, 0))
+    found += [(order[i], order[j]) for i, j in GrayIndex(p[:lone], g[:lone]).inside(limit)] if lone else []
+    head = g[index.first]
+    step = max(1, PAIRS_AT_ONCE // max(1, len(index.first)))
+    step = max(step, 16)
+    for i in range(0, n, step):
+        rows, k = np.arange(i, min(n, i + step)), int(index.own[i])
+        if g[i] >= 0:  # nodes of the same group are passed over, where all rows here belong to it
+            k = int(np.searchsorted(head, g[i], side="right")) if g[rows[-1]] == g[i] else k
+        for a in range(k, len(head), max(1, PAIRS_AT_ONCE // len(rows))):
+            at = slice(a, a + max(1, PAIRS_AT_ONCE // len(rows)))
+            diff = np.zeros((len(rows), len(head[at])), np.uint8)
+            for w in range(WORDS):
+                diff += np.bitwise_count((p[rows, w, None] ^ index.value[None, at, w]) & index.mask[None, at, w])
+            r, c = np.nonzero(diff <= limit)
+            r, c, d = rows[r], a + c, diff[r, c]
+            new = (index.own[r] < c) & ((g[r] < 0) | (g[r] != head[c]))
+            found += [(order[x], order[y]) for x, y in index.below(r[new], c[new], d[new], limit)]
+    return labels(n, *(np.concatenate([e[k] for e in found]) for k in (0, 1)))
+
+
+def views(prints: np.ndarray, limit: int):
+    """Edges within the groups of rows that agree on one of VIEWS further keys."""
+    rng = np.random.default_rng(SEED + 1)
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
+    for _ in range(VIEWS):
+        key = bits[:, rng.choice(BITS, VIEW_BITS, replace=False)] @ (1 << np.arange(VIEW_BITS))
+        order = np.lexsort((gray_rank(prints[:, 0]), key))
+        for i, j in bucket_edges(prints[order], key[order], limit, cut_again=False):
+            yield order[i], order[j]
+
+
+def bucket_edges(prints: np.ndarray, key: np.ndarray, limit: int, cut_again: bool = True):
+    """Yields (i, j) arrays that connect what is near within each bucket; rows are sorted by (key, Gray rank)."""
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[at, len(key)])
+    each = np.repeat(size, size)
+    rows = np.flatnonzero((each > 1) & (each < LARGE))
+    if len(rows):
+        for i, j in GrayIndex(prints[rows], key[rows]).edges(limit):
+            yield rows[i], rows[j]
+    for k in np.flatnonzero(size >= LARGE).tolist():
+        a, e = int(at[k]), int(at[k] + size[k])
+        yield a + large_bucket(prints[a:e], limit, cut_again), np.arange(a, e)
+
+
+ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("f", "<u8", WORDS)])
 
 
-def near_edges(distinct: DataFrame, n: int, limit: int = MAX_BITS) -> DataFrame:
-    """Edges between ids of distinct fingerprints that are near."""
-    bits, tables = layout(n)
-    positions = key_bits(bits, tables)
+@lru_cache(1)
+def permutations() -> list[np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return [rng.permutation(BITS) for _ in range(PERMUTATIONS)]
+
+
+def table_keys(prints: np.ndarray) -> np.ndarray:
+    """Key of each fingerprint in each table, with the table's number in the upper half: n x TABLES."""
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
+    keys = np.concatenate([np.ascontiguousarray(np.packbits(bits[:, p], axis=1)).view("<u2") for p in permutations()], axis=1)
+    return (np.arange(TABLES, dtype=np.uint32) << np.uint32(KEY_BITS)) | keys
+
+
+def spread_entries(ids: np.ndarray, prints: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array]:
+    """(part, entries as bytes): what each partition of the search gets of these fingerprints."""
+    key = table_keys(prints).ravel()
+    part = (mix64(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    entry = np.empty(len(key), ENTRY)
+    entry["key"], entry["id"], entry["f"] = key[order], ids[order // TABLES], prints[order // TABLES]
+    part = part[order]
+    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    offsets = (np.r_[at, len(part)] * ENTRY.itemsize).astype(np.int32)
+    return pa.array(part[at]), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(entry)])
+
+
+def entry_edges(entry: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between ids that connect what is near within each bucket; all entries of a key are here."""
+    key, f = entry["key"], entry["f"]
+    rank = gray_rank(f[np.arange(len(f)), (key >> KEY_BITS) % WORDS])
+    order = np.lexsort((rank, key))
+    ids = entry["id"][order]
+    found = [(ids[:0], ids[:0]), *bucket_edges(np.ascontiguousarray(f[order]), key[order], limit)]
+    label = labels(len(ids), *(np.concatenate([e[k] for e in found]) for k in (0, 1)))
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[moved]], ids[moved]
+
+
+def near_edges(distinct: DataFrame, limit: int = MAX_BITS) -> DataFrame:
+    """Edges (a, b) between the numbers (id, long) of distinct fingerprints, which connect all that are found near."""
+    spark = distinct.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * TABLES * ENTRY.itemsize // PART_BYTES))
 
     def spread(batches):
-        for b in batches:
-            fp = np.ascontiguousarray(np.column_stack([b.column(p).to_numpy() for p in PRINTS]).view(np.uint64)).reshape(-1, WORDS)
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(table_keys(fp, positions[t])), *b.columns], ["tab", "key", *b.schema.names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                fp = np.ascontiguousarray(np.column_stack([b.column(p).to_numpy() for p in PRINTS]).view(np.uint64))
+                yield pa.RecordBatch.from_arrays(list(spread_entries(b.column("id").to_numpy(), fp, parts)), ["part", "entries"])
+
+    def search(batches):
+        blobs = [v.as_buffer() for b in batches for v in b.column(1)]
+        if blobs:
+            a, b = entry_edges(np.frombuffer(b"".join(blobs), ENTRY), limit)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    keyed = distinct.select("id", *PRINTS).mapInArrow(spread, "tab int, key long, id long, " + ", ".join(f"{p} long" for p in PRINTS))
-    by_key = keyed.repartition("tab", "key").sortWithinPartitions("tab", "key")
-    return by_key.mapInArrow(lambda it: bucket_edges(it, limit), "a long, b long").distinct()
+    spread_out = distinct.select("id", *PRINTS).mapInArrow(spread, "part int, entries binary")
+    return spread_out.repartitionById(parts, F.col("part")).mapInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -342,24 +429,31 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, limit: int = MAX_BITS, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, root) of documents in groups of two or more that aren't the smallest of theirs."""
     prints = cut(fingerprint_table(docs, id_col, text_col))
-    distinct = cut(prints.groupBy(*PRINTS).agg(F.min("id").alias("id"), F.max("id").alias("top")))
-    edges = near_edges(distinct, docs.count(), limit)
-    copies = prints.join(distinct.where("id <> top").withColumnRenamed("id", "lead"), PRINTS).where("id <> lead")
-    same = copies.select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    return components(edges.unionByName(same))
+    # one number for each distinct fingerprint: fixed by the checkpoint, whatever the type of the ids
+    distinct = cut(prints.groupBy(*PRINTS).agg(F.min("id").alias("lead"), F.max("id").alias("top")).withColumn("id", F.monotonically_increasing_id()))
+    copies = cut(prints.join(distinct.where("lead <> top").select(*PRINTS, "lead", F.col("id").alias("number")), PRINTS).where("id <> lead").select("id", "lead", "number"))
+    # rows with one id and several fingerprints: these are one document
+    several = prints.groupBy(F.col("id").alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice")
+    again = prints.join(several, F.col("id") == F.col("twice")).join(distinct.select(*PRINTS, F.col("id").alias("number")), PRINTS)
+    tied = again.groupBy("twice").agg(F.min("number").alias("a"), F.collect_set("number").alias("all")).select("a", F.explode("all").alias("b")).where("a <> b")
+    roots = components(near_edges(distinct, limit).unionByName(tied))
+    member = cut(roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()).join(distinct.select("id", "lead"), "id"))
+    best = member.groupBy("root").agg(F.min("lead").alias("best"))
+    moved = cut(member.join(best, "root").select("id", "lead", "best"))
+    by_copy = copies.join(moved.select(F.col("id").alias("number"), "best"), "number", "left").select("id", F.coalesce("best", "lead").alias("root"))
+    return moved.select(F.col("lead").alias("id"), F.col("best").alias("root")).unionByName(by_copy).where("id <> root").distinct()
 
 
 def op6_groups(docs: DataFrame, limit: int = MAX_BITS, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, group_id, keep) of all documents."""
-    roots = near_groups(docs, limit, id_col, text_col)
-    out = docs.select(F.col(id_col).alias("doc_id")).join(roots.withColumnRenamed("id", "__ink_id"), F.col("doc_id") == F.col("__ink_id"), "left")
+    roots = near_groups(docs, limit, id_col, text_col).withColumnRenamed("id", "gone")
+    out = docs.select(named(id_col).alias("doc_id")).join(roots, F.col("doc_id") == F.col("gone"), "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.col("root").isNull().alias("keep"))
 
 
 def near_dedup(docs: DataFrame, limit: int = MAX_BITS, id_col="doc_id", text_col="text") -> DataFrame:
     """Rows of ``docs``, unchanged, without the near duplicates of a smaller id."""
-    gone = cut(near_groups(docs, limit, id_col, text_col).select(F.col("id").alias(id_col)))
-    return drop_ids(docs, gone, id_col)
+    return drop_ids(docs, near_groups(docs, limit, id_col, text_col).select("id"), id_col)
 
 
 def op6(spark, sf_dir):
