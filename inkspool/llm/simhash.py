@@ -7,9 +7,10 @@ groups are the connected components, and the smallest id of each stays.
 Search: equal fingerprints are collapsed first, whatever their number. Then
 every fingerprint enters ``TABLES`` tables: each of ``PERMUTATIONS`` fixed
 permutations of the bits is cut into keys of ``KEY_BITS``, and fingerprints
-that agree on a key form a bucket of its table. Keys and tables don't depend
+that agree on a key form a bucket of its table, which is whole in one
+partition of the search. Keys and tables don't depend
 on the corpus, so which pairs are compared doesn't change when others come,
-and what is shuffled grows with the number of documents.
+and what is shuffled grows in proportion to the number of documents.
 
 A bucket is searched without loss. Its fingerprints are sorted by Gray rank;
 runs of them that share many bits become nodes, which store these bits as mask
@@ -51,9 +52,9 @@ from .common import CHUNK_BYTES, cut, doc_chunks, drop_ids, mix64, named, read,
 BITS, WORDS = 256, 4
 #: Fingerprints that differ in at most this many of 256 bits are near duplicates.
 MAX_BITS = 44
-#: Fixed layout: a pair shares one of the 80 keys with probability 0.98 at 44 differing bits, 0.996 at 40, 0.9995 at 36.
-KEY_BITS, PERMUTATIONS = 16, 5
-TABLES = PERMUTATIONS * BITS // KEY_BITS
+#: Fixed layout: each permutation gives 18 keys of 14 bits (4 bits are over); for its recall by distance see the README.
+KEY_BITS, PERMUTATIONS = 14, 3
+TABLES = PERMUTATIONS * (BITS // KEY_BITS)
 #: Bits that the rows of a node of more than two share, more than twice MAX_BITS, so that unrelated queries leave it.
 SHARED = 112
 #: Rows from which a bucket is searched on its own.
@@ -62,8 +63,8 @@ LARGE = 256
 LEAF, VIEW_BITS, VIEWS = 1 << 15, 12, 44
 LEADERS = 32
 PAIRS_AT_ONCE = 1 << 19
-#: Aimed size of a partition of the search.
-PART_BYTES = 24 << 20
+#: Largest size aimed at for a partition of the search, of which each table has as many as it needs.
+PART_BYTES = 48 << 20
 SEED = 20240229
 
 _WORD = np.zeros(256, bool)
@@ -353,16 +354,19 @@ def permutations() -> list[np.ndarray]:
 
 
 def table_keys(prints: np.ndarray) -> np.ndarray:
-    """Key of each fingerprint in each table, with the table's number in the upper half: n x TABLES."""
+    """Key of each fingerprint in each table, with the table's number in the upper 16 bits: n x TABLES."""
     bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
-    keys = np.concatenate([np.ascontiguousarray(np.packbits(bits[:, p], axis=1)).view("<u2") for p in permutations()], axis=1)
-    return (np.arange(TABLES, dtype=np.uint32) << np.uint32(KEY_BITS)) | keys
+    keys = np.empty((len(prints), TABLES), np.uint32)
+    for t, p in enumerate(np.concatenate([p[: BITS // KEY_BITS * KEY_BITS] for p in permutations()]).reshape(TABLES, KEY_BITS)):
+        two = np.packbits(bits[:, p], axis=1).astype(np.uint32)
+        keys[:, t] = (t << 16) | two[:, 0] << 8 | two[:, 1]
+    return keys
 
 
 def spread_entries(ids: np.ndarray, prints: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array]:
-    """(part, entries as bytes): what each partition of the search gets of these fingerprints."""
+    """(part, entries as bytes): what each of a table's ``parts`` partitions gets of these fingerprints."""
     key = table_keys(prints).ravel()
-    part = (mix64(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    part = ((key >> 16).astype(np.int64) * parts + (mix64(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     entry = np.empty(len(key), ENTRY)
     entry["key"], entry["id"], entry["f"] = key[order], ids[order // TABLES], prints[order // TABLES]
@@ -375,7 +379,7 @@ def spread_entries(ids: np.ndarray, prints: np.ndarray, parts: int) -> tuple[pa.
 def entry_edges(entry: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Edges between ids that connect what is near within each bucket; all entries of a key are here."""
     key, f = entry["key"], entry["f"]
-    rank = gray_rank(f[np.arange(len(f)), (key >> KEY_BITS) % WORDS])
+    rank = gray_rank(f[np.arange(len(f)), (key >> 16) % WORDS])
     order = np.lexsort((rank, key))
     ids = entry["id"][order]
     found = [(ids[:0], ids[:0]), *bucket_edges(np.ascontiguousarray(f[order]), key[order], limit)]
@@ -386,8 +390,7 @@ def entry_edges(entry: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, n
 
 def near_edges(distinct: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """Edges (a, b) between the numbers (id, long) of distinct fingerprints, which connect all that are found near."""
-    spark = distinct.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() * TABLES * ENTRY.itemsize // PART_BYTES))
+    parts = max(1, -(-distinct.count() * ENTRY.itemsize // PART_BYTES))
 
     def spread(batches):
         for whole in batches:
@@ -403,7 +406,7 @@ def near_edges(distinct: DataFrame, limit: int = MAX_BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     spread_out = distinct.select("id", *PRINTS).mapInArrow(spread, "part int, entries binary")
-    return spread_out.repartitionById(parts, F.col("part")).mapInArrow(search, "a long, b long").distinct()
+    return spread_out.repartitionById(TABLES * parts, F.col("part")).mapInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
