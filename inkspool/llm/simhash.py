@@ -98,10 +98,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return a, mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
 
 
+#: A byte as its 8 bits, highest first, in the 8 bytes of one word: sums of words count 8 bits at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def _votes(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints (docs x 4 uint64) of distinct words, and which documents have words."""
     low = np.uint64((1 << 44) - 1)
-    key = np.unique((doc.astype(np.uint64) << np.uint64(44)) | (h & low))
+    key = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (h & low))
+    key = key[np.r_[True, key[1:] != key[:-1]][: len(key)]]
     doc, h = (key >> np.uint64(44)).astype(np.int64), key & low
     prints, has = np.zeros((docs, WORDS), np.uint64), np.zeros(docs, bool)
     if not len(key):
@@ -109,9 +114,13 @@ def _votes(doc: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     size = np.diff(np.r_[at, len(doc)])
     has[doc[at]] = True
+    runs = -(-size // 255)  # up to 255 words are counted in bytes
+    first = np.cumsum(runs) - runs
+    run_at = np.repeat(at, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
     for k in range(WORDS):
-        bits = np.unpackbits(mix64(h + _LANES[k]).view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+        bits = _SPREAD[mix64(h + _LANES[k]).view(np.uint8).reshape(-1, 8)]
+        counts = np.add.reduceat(bits, run_at, axis=0).view(np.uint8).reshape(len(run_at), 64)
+        ones = counts.astype(np.int32) if len(run_at) == len(at) else np.add.reduceat(counts, first, axis=0, dtype=np.int32)
         prints[doc[at], k] = np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64).ravel()
     return prints, has
 
