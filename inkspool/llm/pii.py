@@ -5,7 +5,8 @@ own format: a Feistel network over the number of values that the format has,
 walked until it lands inside. So a card number stays a valid card number, a
 date a date in the same notation, and equal values, however they are written,
 get equal pseudonyms in every document, which keeps records linked. With the
-key the permutation can be undone.
+key the permutation can be undone. Dates keep what their notation
+shows: digits of day and month, and whether the day is beyond 12.
 
 Found: card numbers (13 to 19 digits, Luhn), IBANs (mod 97),
 IPv4 addresses (octets), dates (calendar, 1900 to 2099), US social security
@@ -13,7 +14,9 @@ numbers, phone numbers, e-mail addresses (local part), and quoted secrets after
 a word such as token or password. Anything else stays as it is, byte for byte.
 
 Defined cases: a null text stays null; values are searched in the whole text,
-left to right, and never overlap; rows with one id get one result each.
+left to right, and never overlap; very long texts too; rows with one id get one
+result each, and repeated values one pseudonym; an empty table gives an empty
+result; ids may have any type, other columns any name.
 """
 
 from __future__ import annotations
@@ -27,11 +30,10 @@ from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import read
+from .common import named, read, with_id
 
-#: Key for tests. A production run passes its own.
+#: Key of the query over the synthetic tables. It is public: real data need a key of their own.
 TEST_KEY = b"inkspool-test-key"
 ROUNDS = 10
 DATE_0, DATE_1 = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -121,19 +123,44 @@ def ip(v: str, key: bytes, back=False) -> str:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _kind(day: datetime.date) -> tuple[bool, bool, bool]:
+    """What a notation shows of a date: whether day and month have one digit, and whether the day could be a month."""
+    return day.month < 10, day.day < 10, day.day <= 12
+
+
+@lru_cache(1)
+def _days() -> tuple[dict, dict[int, int]]:
+    """Days of each kind, and the place of each day among its kind."""
+    kinds, place = {}, {}
+    for x in range(DATE_0, DATE_1 + 1):
+        kind = kinds.setdefault(_kind(datetime.date.fromordinal(x)), [])
+        place[x] = len(kind)
+        kind.append(x)
+    return kinds, place
+
+
 def date(v: str, key: bytes, back=False) -> str:
+    """A date in its own notation, permuted within its kind.
+
+    So a numeric date with the month first (recognised by a day beyond 12) is
+    read with the month first again, one that could be either is read with the
+    day first before and after, and each part keeps its number of digits.
+    """
     a, sep, b, _, c = re.fullmatch(r"(\d+)([-/.])(\d+)([-/.])(\d+)", v).groups()
     orders = [(0, 1, 2)] if len(a) == 4 else [(2, 1, 0), (2, 0, 1)]
     part = [int(a), int(b), int(c)]
     for o in orders:
         y, m, d = (part[i] for i in o)
         if 1900 <= y <= 2099 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]:
-            new = datetime.date.fromordinal(DATE_0 + permute(datetime.date(y, m, d).toordinal() - DATE_0, DATE_1 - DATE_0 + 1, key, "date", back))
+            day = datetime.date(y, m, d)
+            kinds, place = _days()
+            days = kinds[_kind(day)]
+            tweak = "date%d%d%d" % _kind(day)
+            new = datetime.date.fromordinal(days[permute(place[day.toordinal()], len(days), key, tweak, back)])
             fields = [0, 0, 0]
             for i, x in zip(o, (new.year, new.month, new.day), strict=True):
                 fields[i] = x
-            wide = all(len(s) > 1 for s in (a, b, c))
-            return sep.join(f"{x:02d}" if wide else str(x) for x in fields)
+            return sep.join(f"{x:0{len(s)}d}" for x, s in zip(fields, (a, b, c), strict=True))
     return v
 
 
@@ -195,7 +222,7 @@ _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _DIGIT = re.compile(r"\d", re.ASCII)
 
 
-def pseudonymize(text: str, key: bytes = TEST_KEY, back: bool = False, cache=None) -> tuple[str, list[str]]:
+def pseudonymize(text: str, key: bytes, back: bool = False, cache=None) -> tuple[str, list[str]]:
     """(text with pseudonyms, kinds replaced in order)."""
     kinds: list[str] = []
     replace = cache or (lambda kind, v: KINDS[kind](v, key, back))
@@ -219,7 +246,7 @@ def pseudonymize(text: str, key: bytes = TEST_KEY, back: bool = False, cache=Non
     return text, kinds
 
 
-def pseudonyms(docs: DataFrame, key: bytes = TEST_KEY, id_col="doc_id", text_col="text") -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, text, kinds): kinds lists what was replaced, as a sorted set; null for a null text."""
 
     def run(batches):
@@ -232,9 +259,9 @@ def pseudonyms(docs: DataFrame, key: bytes = TEST_KEY, id_col="doc_id", text_col
                 kinds.append(k if k is None else ",".join(sorted(set(k))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.string())], ["doc_id", "text", "kinds"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return base.mapInArrow(run, "doc_id long, text string, kinds string")
+    base = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("t"))
+    return base.mapInArrow(run, with_id(base, "text string, kinds string"))
 
 
 def op8(spark, sf_dir):
-    return pseudonyms(read(spark, sf_dir, "documents"))
+    return pseudonyms(read(spark, sf_dir, "documents"), TEST_KEY)
