@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a numpy kernel works on at a time.
 CHUNK_BYTES = 1 << 20
@@ -136,6 +137,23 @@ def named(column: str) -> F.Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def map_rows(df: DataFrame, run, fields: list[T.StructField]) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever they are called; ``fields`` are those of the result, in order."""
+    plain = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(fields)]
+
+    def renamed(batches):
+        for b in run(batches):
+            yield b.rename_columns([f.name for f in plain])
+
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, T.StructType(plain))
+    return out.toDF(*[f.name for f in fields])
+
+
+def with_id(base: DataFrame, rest: str) -> T.StructType:
+    """Schema of a result: the first column of ``base`` as it is, then the fields of ``rest``."""
+    return T.StructType([base.schema.fields[0], *T.StructType.fromDDL(rest).fields])
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, longer where a column of ``df`` is called so already."""
     taken = {c.lower() for c in df.columns}

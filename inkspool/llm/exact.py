@@ -8,7 +8,9 @@ bytes. Two texts with one hash are thus never merged.
 
 Defined cases: null texts are never duplicates; empty texts are copies of each
 other; rows that share id and text are one document; a null id takes part but
-ranks after every other id.
+ranks after every other id; very long texts are hashed and compared whole; an
+empty table gives an empty result; ids may have any type that can be ordered,
+other columns any name.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_member, read
+from .common import cut, maybe_member, named, read
 
 
 def exact_groups(docs: DataFrame, id_col="doc_id", text_col="text", hash_fn=F.md5) -> DataFrame:
@@ -25,7 +27,7 @@ def exact_groups(docs: DataFrame, id_col="doc_id", text_col="text", hash_fn=F.md
     Ids of null stay null, with keep = true where the text has no smaller id.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    base = docs.select(named(id_col).alias("id"), named(text_col).alias("t"))
     hashed = base.withColumn("ch", hash_fn(F.col("t").cast("binary")))
     narrow = cut(hashed.select("id", "ch"))
     counted = narrow.where("ch is not null").groupBy("ch").agg(F.count("*").alias("n"), F.min("id").alias("rep"))

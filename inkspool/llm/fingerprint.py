@@ -8,7 +8,9 @@ deletes it; and states of documents add up to that of any union of them.
 
 Defined cases: paragraphs end at LF and are taken without white space around
 them, blank ones don't count; a text without paragraphs has the zero state; a
-null text has a null state; a paragraph counts as often as it occurs.
+null text has a null state; a paragraph counts as often as it occurs; rows with
+one id get one result each; very long texts are read whole; an empty table
+gives an empty result; ids may have any type, other columns any name.
 """
 
 from __future__ import annotations
@@ -18,9 +20,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import read
+from .common import named, read, with_id
 
 #: Lanes of 16 bits. The state has 2 bytes a lane.
 LANES = 256
@@ -30,10 +31,6 @@ def paragraphs(text: bytes) -> list[bytes]:
     return [p for p in (x.strip() for x in text.split(b"\n")) if p]
 
 
-def vector(paragraph: bytes, lanes: int = LANES) -> np.ndarray:
-    return np.frombuffer(hashlib.shake_128(paragraph).digest(2 * lanes), "<u2")
-
-
 def state(parts: list[bytes], lanes: int = LANES) -> np.ndarray:
     if not parts:
         return np.zeros(lanes, np.uint16)
@@ -67,8 +64,8 @@ def fingerprints(docs: DataFrame, lanes: int = LANES, id_col="doc_id", text_col=
                 count.append(len(parts)), states.append(s), digests.append(hashlib.sha256(s).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(states, pa.binary()), pa.array(digests, pa.string())], ["doc_id", "paragraphs", "state", "digest"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return base.mapInArrow(run, "doc_id long, paragraphs long, state binary, digest string")
+    base = docs.select(named(id_col).alias("doc_id"), named(text_col).cast("binary").alias("t"))
+    return base.mapInArrow(run, with_id(base, "paragraphs long, state binary, digest string"))
 
 
 def combine(prints: DataFrame, by: str, lanes: int = LANES) -> DataFrame:
@@ -89,7 +86,7 @@ def combine(prints: DataFrame, by: str, lanes: int = LANES) -> DataFrame:
             s = s + np.frombuffer(x, "<u2")
         return pa.table({by: table.column("k").slice(0, 1), "state": pa.array([s.astype("<u2").tobytes()], pa.binary())})
 
-    parts = prints.select(F.col(by).cast("string").alias("k"), "state").mapInArrow(partial, "k string, state binary")
+    parts = prints.select(named(by).cast("string").alias("k"), "state").mapInArrow(partial, "k string, state binary")
     return parts.groupBy("k").applyInArrow(final, f"`{by}` string, state binary")
 
 

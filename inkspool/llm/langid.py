@@ -13,7 +13,9 @@ filter of width 4 costs two lookups a byte.
 
 Defined cases: null and empty texts get a null language and probability; a null
 label is not trained on; without any label every language is null; rows with
-one id get one result each.
+one id get one result each, and train as one document; very long texts are read
+whole; an empty table gives an empty result; ids may have any type, other
+columns any name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash60, read, text_bytes
+from .common import hash60, named, read, text_bytes, with_id
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -159,14 +161,14 @@ def windows(data: np.ndarray, offsets: np.ndarray):
 
 def train(docs: DataFrame, id_col="doc_id", text_col="text", label_col="lang", train_docs: int = TRAIN_DOCS) -> ByteCnn | None:
     """Network trained on ``train_docs`` labelled documents and LANG_DOCS of each language; None without labels."""
-    labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    keys = labelled.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(label_col).alias("l"), hash60(F.col(id_col)).alias("h"))
+    labelled = docs.select(named(id_col).alias("id"), named(label_col).alias("l"), named(text_col).alias("t")).where("id is not null and l is not null and t is not null")
+    keys = labelled.where(F.length("t") > 0).select("id", "l", hash60(F.col("id")).alias("h"))
     rank = F.row_number().over(W.partitionBy("l").orderBy("h", "id"))
     few = {r[0] for r in keys.withColumn("nth", rank).where(F.col("nth") <= LANG_DOCS).select("id").collect()}
-    chosen = sorted(few | {r[0] for r in labelled.select(F.col(id_col).alias("id")).orderBy(hash60(F.col("id")), "id").limit(train_docs).collect()})
+    chosen = sorted(few | {r[0] for r in labelled.select("id").orderBy(hash60(F.col("id")), "id").limit(train_docs).collect()})
     if not chosen:
         return None
-    rows = labelled.where(F.col(id_col).isin(chosen)).select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).limit(4 * max(train_docs, len(chosen)))
+    rows = labelled.where(F.col("id").isin(chosen)).groupBy("id").agg(F.min(F.struct("l", "t")).alias("r")).select("r.*")
     sample = sorted((r.l, r.t) for r in rows.collect() if r.t)
     langs = sorted({x for x, _ in sample})
     xs, ys = [], []
@@ -214,8 +216,8 @@ def predict(docs: DataFrame, net: ByteCnn | None, id_col="doc_id", text_col="tex
                     lang[i], prob[i] = model.langs[best[i]], round(float(p[i, best[i]]), 6)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(prob, pa.float64())], ["doc_id", "lang_pred", "prob"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return base.mapInArrow(run, "doc_id long, lang_pred string, prob double")
+    base = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("t"))
+    return base.mapInArrow(run, with_id(base, "lang_pred string, prob double"))
 
 
 def op2(spark, sf_dir):

@@ -2,64 +2,68 @@
 
 A first pass gives every distinct line of a document its 128-bit hash; grouping
 by hash counts the documents that have the line and finds the smallest id among
-them, its owner. The lines that at least ``min_docs`` documents share go into
-shards by hash. In a shard a minimal perfect hash (a displacement per bucket)
-gives each line its own place in three compact arrays: fingerprint, document
-count and owner. A second pass probes the arrays with every line and drops a
-shared line from all documents but its owner. Lines are never joined to
-documents, and texts don't move.
-
-The arrays hold only shared lines. Their size is measured; up to
-``max_broadcast`` bytes they are broadcast. Beyond that, hashes of lines are
-sent to the shards instead, and documents that lose lines are joined with the
-hashes to drop. Both ways give the same rows.
-
-With ``long_words``, lines of at least so many words are shared from
-``LONG_DOCS`` documents on, whatever ``min_docs`` asks of shorter ones.
+them, its owner. The repeated lines, those of at least ``min_docs`` documents,
+go into shards by hash. In a shard a minimal perfect hash (a displacement per
+bucket) gives each line its own place in compact arrays: fingerprint, document
+count, and the number of its owner. A second pass probes the arrays with every
+line and drops a repeated line from all documents but its owner. Lines are
+never joined to documents.
+
+A line of a single document can't be dropped, so the arrays hold the repeated
+lines only; a probe with any other line fails at the fingerprint.
+
+The arrays' size is measured. The most frequent lines, as many as fit into
+``max_broadcast`` bytes, are broadcast and probed where the documents are. What
+is beyond that, which no broadcast could hold on a large corpus, stays in its
+shards: the 128-bit hashes of the lines not yet found are sent there, in packed
+blocks, and probe the arrays as a stream, so that a task holds one shard and
+one block. The lines that most documents share are among the broadcast ones and
+never meet in one task. Texts move only for documents that lose a line of the
+second kind. Both ways give the same rows, whatever the limit.
+
+``spare`` keeps near copies for a later step that judges whole documents: where
+the lines that one owner has make at least this share of a document's text, and
+of that owner's text, by bytes, the document keeps them. It loses the lines of
+other owners, as the owner does.
 
 Defined cases: lines end at LF and are compared without spaces, tabs and CR
 around them; blank lines are never counted or dropped; within its owner a line
 stays as often as it occurs; rows with one id count as one document each but
 own a line together; a null id owns a line only if no other id has it, and a
-null text stays null.
+null text stays null; very long texts are read whole; an empty table stays
+empty; ids may have any type that can be ordered, other columns any name, and
+all of them stay as they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix64, read
+from .common import cut, fresh, map_rows, maybe_member, mix64, named, read
 
-#: Documents that must share a line before it counts as boilerplate.
-MIN_DOCS = 6
-#: Documents that must share a line of at least ``long_words`` words.
-LONG_DOCS = 2
+#: Documents that must share a line before it counts as repeated.
+MIN_DOCS = 2
 LINES_PER_SHARD = 200_000
 #: Largest total size of the arrays that is broadcast.
 MAX_BROADCAST = 64 << 20
+#: Bytes that a line takes in the arrays, with its share of the displacements.
+LINE_BYTES = 32
 BLANKS = b" \t\r"
-NO_OWNER = np.iinfo(np.int64).min
 KEYS_A_BUCKET = 3
+#: Displacements tried for a bucket before the whole shard gets another seed.
+MAX_TRIES = 1 << 20
 
 
-def line_hashes(text: bytes) -> list[int]:
-    """Unsigned 128-bit hashes of the lines of a text; -1 for a blank line."""
-    h = xxhash.xxh3_128_intdigest
-    return [h(x) if x else -1 for x in (y.strip(BLANKS) for y in text.split(b"\n"))]
-
-
-def long_hashes(text: bytes, words: int) -> set[int]:
-    """Hashes of the lines of a text that have at least so many words."""
-    return {xxhash.xxh3_128_intdigest(y.strip(BLANKS)) for y in text.split(b"\n") if len(y.split()) >= words}
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def line_digests(text: bytes) -> list[bytes]:
+    """128-bit hashes of the lines of a text as 16 bytes; empty for a blank line."""
+    h = xxhash.xxh3_128_digest
+    return [h(x) if x else b"" for x in (y.strip(BLANKS) for y in text.split(b"\n"))]
 
 
 def _slots(key: np.ndarray, pilot: np.ndarray, n: int) -> np.ndarray:
@@ -72,8 +76,11 @@ def build_mph(keys: np.ndarray) -> np.ndarray:
     Keys fall into buckets; from the fullest down, each bucket gets the first
     displacement that puts its keys on free places. A bucket of one key gets a
     free place directly, stored as -1 - place, so that every place is used.
+    Equal keys have no perfect hash: ValueError.
     """
     n = len(keys)
+    if len(np.unique(keys)) < n:
+        raise ValueError("keys must be distinct")
     buckets = max(1, n // KEYS_A_BUCKET)
     at = (mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
@@ -88,6 +95,8 @@ def build_mph(keys: np.ndarray) -> np.ndarray:
             break
         own, base = keys[order[starts[b] : starts[b + 1]]], 0
         while True:
+            if base >= MAX_TRIES:
+                raise ValueError("no displacement fits")
             p = tries + base
             s = _slots(own[None, :], p[:, None], n)
             free = ~taken[s].any(axis=1)
@@ -111,207 +120,288 @@ def probe_mph(keys: np.ndarray, pilots: np.ndarray, n: int) -> np.ndarray:
     return np.where(p < 0, -1 - p, _slots(keys, np.maximum(p, 0), n))
 
 
-def shared_lines(docs: DataFrame, min_docs: int, id_col: str, text_col: str, long_words: int | None = None) -> DataFrame:
-    """(h1, h2, docs, owner) of the lines that at least min_docs documents have, long ones LONG_DOCS."""
+def shard_keys(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit keys of 128-bit hashes under a seed of their shard."""
+    return mix64(h1 ^ mix64(h2 + np.uint64(seed)))
+
+
+def numbered(col: F.Column, kind: T.DataType) -> F.Column:
+    """64-bit number of an id: itself if it is integral, else a hash. Null is null."""
+    return col.cast("long") if isinstance(kind, T.IntegralType) else F.when(col.isNotNull(), F.xxhash64(col.cast("string")))
+
+
+def _number_of(docs: DataFrame, id_col: str) -> F.Column:
+    return numbered(named(id_col), docs.schema[id_col].dataType)
+
+
+def shared_lines(docs: DataFrame, min_docs: int, id_col: str, text_col: str) -> DataFrame:
+    """(h1, h2, docs, owner) of the lines that at least min_docs documents have.
+
+    owner is the number of the document with the smallest id (see ``numbered``),
+    null only if no document with an id has the line.
+    """
 
     def lines(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1)
-            row, a, c, far = [], [], [], []
+            row, digest = [], []
             for i in range(len(texts)):
                 v = texts[i].as_buffer()
-                if v is None:
-                    continue
-                raw = v.to_pybytes()
-                long = long_hashes(raw, long_words) if long_words is not None else ()
-                for h in set(line_hashes(raw)) - {-1}:
-                    row.append(i)
-                    a.append(_signed(h >> 64))
-                    c.append(_signed(h & 0xFFFFFFFFFFFFFFFF))
-                    far.append(h in long)
-            cols = [pa.array(a, pa.int64()), pa.array(c, pa.int64()), ids.take(pa.array(row, pa.int64()))]
-            if long_words is not None:
-                cols.append(pa.array(far, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "id", "long"][: len(cols)])
-
-    schema = "h1 long, h2 long, id long" + (", long boolean" if long_words is not None else "")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(lines, schema)
-    counts = [F.count("*").alias("docs"), F.min("id").alias("owner")]
-    if long_words is None:
-        return rows.groupBy("h1", "h2").agg(*counts).where(F.col("docs") >= min_docs)
-    lines_ = rows.groupBy("h1", "h2").agg(*counts, F.max("long").alias("long"))
-    return lines_.where((F.col("docs") >= min_docs) | (F.col("long") & (F.col("docs") >= LONG_DOCS))).drop("long")
-
-
-SHARD_SCHEMA = "shard int, n long, pilots binary, prints binary, counts binary, owners binary"
-
-
-def build_shards(lines: DataFrame, lines_per_shard: int = LINES_PER_SHARD) -> tuple[DataFrame, int]:
-    """One row a shard, with its arrays as bytes; number of shards (0 if no line is shared)."""
-    n = lines.count()
-    shards = -(-n // lines_per_shard)
+                if v is not None:
+                    own = set(line_digests(v.to_pybytes()))
+                    own.discard(b"")
+                    row += [i] * len(own)
+                    digest += own
+            h1, h2 = halves(digest)
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids.take(pa.array(row, pa.int64()))], ["h1", "h2", "id"])
+
+    base = docs.select(named(id_col).alias("id"), named(text_col).cast("binary").alias("t"))
+    rows = base.mapInArrow(lines, T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), base.schema["id"]]))
+    grouped = rows.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs)
+    return grouped.select("h1", "h2", "docs", numbered(F.col("first"), base.schema["id"].dataType).alias("owner"))
+
+
+def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Upper and lower 64 bits of 16-byte hashes."""
+    h = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64)
+    return np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
+
+
+SHARD_SCHEMA = "shard int, n long, seed long, pilots binary, prints binary, counts binary, owners binary, sizes binary, nobody binary"
+
+
+def build_shards(lines: DataFrame, shards: int) -> DataFrame:
+    """One row a shard, with its arrays as bytes."""
 
     def build(table: pa.Table) -> pa.Table:
-        h1 = table.column("h1").to_numpy().astype(np.int64).view(np.uint64)
-        h2 = table.column("h2").to_numpy().astype(np.int64)
+        h1, h2 = (table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
         order = np.lexsort((h2, h1))
         h1, h2 = h1[order], h2[order]
-        key = mix64(h1 ^ mix64(h2.view(np.uint64)))
-        pilots = build_mph(key)
+        for seed in range(64):  # two lines may share a 64-bit key under one seed, not under many
+            key = shard_keys(h1, h2, seed)
+            try:
+                pilots = build_mph(key)
+                break
+            except ValueError:
+                continue
+        else:
+            raise ValueError("no perfect hash for a shard: lines must be distinct")
         place = probe_mph(key, pilots, len(key))
-        prints, counts, owners = np.zeros(len(key), np.int64), np.zeros(len(key), np.int32), np.zeros(len(key), np.int64)
-        prints[place] = h2
-        counts[place] = np.minimum(table.column("docs").to_numpy()[order], np.iinfo(np.int32).max)
-        owners[place] = table.column("owner").combine_chunks().fill_null(int(NO_OWNER)).to_numpy()[order]
-        cells = [np.ascontiguousarray(x).tobytes() for x in (pilots, prints, counts, owners)]
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(key)], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in zip(("pilots", "prints", "counts", "owners"), cells, strict=True)}})
-
-    if not shards:
-        return lines.sparkSession.createDataFrame([], SHARD_SCHEMA), 0
+        arrays = [np.zeros(len(key), t) for t in (np.uint64, np.int32, np.int64, np.int64, np.bool_)]
+        owner = table.column("owner").combine_chunks().take(pa.array(order))
+        size = table.column("owner_size").combine_chunks().fill_null(0).to_numpy()[order]
+        count = np.minimum(table.column("docs").to_numpy()[order], np.iinfo(np.int32).max)
+        for a, v in zip(arrays, (h2, count, owner.fill_null(0).to_numpy(), size, owner.is_null().to_numpy(zero_copy_only=False)), strict=True):
+            a[place] = v
+        cells = {k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in zip(("pilots", "prints", "counts", "owners", "sizes", "nobody"), [pilots, *arrays], strict=True)}
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "n": pa.array([len(key)], pa.int64()), "seed": pa.array([seed], pa.int64()), **cells})
+
     sharded = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInArrow(build, SHARD_SCHEMA), shards
+    return sharded.groupBy("shard").applyInArrow(build, SHARD_SCHEMA)
 
 
 class Arrays:
-    """Shards of the minimal perfect hash, probed with (h1, h2)."""
+    """Shards of the minimal perfect hash, probed with 128-bit hashes."""
 
-    def __init__(self, rows):
-        self.shards = {}
+    def __init__(self, rows, shards: int):
+        self.count, self.shards = shards, {}
         for r in rows:
-            self.shards[r["shard"]] = (r["n"], *(np.frombuffer(r[k], t) for k, t in (("pilots", np.int64), ("prints", np.int64), ("counts", np.int32), ("owners", np.int64))))
-
-    def probe(self, h1: np.ndarray, h2: np.ndarray, shards: int, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """(shared, owner) of every line; h1 and h2 are signed."""
-        shared, owner = np.zeros(len(h1), bool), np.zeros(len(h1), np.int64)
-        if not shards:
-            return shared, owner
-        key = mix64(h1.view(np.uint64) ^ mix64(h2.view(np.uint64)))
-        of = h1 % np.int64(shards)
-        for s, (n, pilots, prints, counts, owners) in self.shards.items():
-            at = np.flatnonzero(of == s) if shards > 1 else np.arange(len(h1))
-            place = probe_mph(key[at], pilots, n)
-            shared[at] = (prints[place] == h2[at]) & (counts[place] >= min_docs)
-            owner[at] = owners[place]
-        return shared, owner
-
-
-def _split(texts) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of each text (None for null), and row, h1 and h2 of the lines that aren't blank."""
-    parts, row, a, c = [], [], [], []
-    for i in range(len(texts)):
-        v = texts[i].as_buffer()
-        if v is None:
-            parts.append(None)
-            continue
-        raw = v.to_pybytes()
-        hs = line_hashes(raw)
-        parts.append((raw, hs))
-        for h in hs:
-            row.append(i)
-            a.append(_signed(h >> 64) if h >= 0 else 0)
-            c.append(_signed(h & 0xFFFFFFFFFFFFFFFF) if h >= 0 else 0)
-    return parts, np.array(row, np.int64), np.array(a, np.int64), np.array(c, np.int64)
-
-
-def _strip(parts: list, row: np.ndarray, dropped: np.ndarray) -> tuple[list, list]:
-    """Texts without the dropped lines, and how many each lost."""
-    lost = np.bincount(row[dropped], minlength=len(parts)) if len(row) else np.zeros(len(parts), np.int64)
-    first = np.searchsorted(row, np.arange(len(parts) + 1))
-    out = []
-    for i, p in enumerate(parts):
-        if p is None or not lost[i]:
-            out.append(p and p[0])
-        else:
-            cut_ = dropped[first[i] : first[i + 1]]
-            out.append(b"\n".join(x for x, d in zip(p[0].split(b"\n"), cut_, strict=True) if not d))
-    return out, lost.tolist()
-
-
-def _rewritten(batch: pa.RecordBatch, id_at: int, text_at: int, drop, lost_at: int | None) -> pa.RecordBatch:
-    parts, row, h1, h2 = _split(batch.column(text_at).cast(pa.binary()))
-    ids = batch.column(id_at).cast(pa.int64()).fill_null(int(NO_OWNER)).to_numpy()
-    real = (h1 != 0) | (h2 != 0)
-    dropped = np.zeros(len(row), bool)
-    if real.any():
-        dropped[real] = drop(ids, row[real], h1[real], h2[real])
-    texts, lost = _strip(parts, row, dropped)
-    cols = list(batch.columns)
-    cols[text_at] = pa.array(texts, pa.binary()).cast(batch.schema.field(text_at).type)
-    if lost_at is not None:
-        cols[lost_at] = pa.array(lost, pa.int32())
-    return pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col="doc_id", text_col="text", lost_col: str | None = None, max_broadcast: int = MAX_BROADCAST, lines_per_shard: int = LINES_PER_SHARD, long_words: int | None = None) -> DataFrame:
-    """``docs`` with shared lines dropped from all but their owners; all columns stay.
-
-    ``lost_col`` names an int column to add with the number of lines dropped.
-    ``long_words`` is the number of words from which LONG_DOCS documents are
-    enough; without it every line needs ``min_docs``.
+            parts = ((k, t) for k, t in (("pilots", np.int64), ("prints", np.uint64), ("counts", np.int32), ("owners", np.int64), ("sizes", np.int64), ("nobody", np.bool_)))
+            self.shards[r["shard"]] = (r["n"], r["seed"], *(np.frombuffer(r[k], t) for k, t in parts))
+
+    def probe(self, h1: np.ndarray, h2: np.ndarray, min_docs: int) -> tuple[np.ndarray, ...]:
+        """(repeated, owner, bytes of the owner, has no owner) of every line; hashes are uint64."""
+        n = len(h1)
+        hit, owner, size, nobody = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        if not self.shards or not n:
+            return hit, owner, size, nobody
+        of = h1.view(np.int64) % np.int64(self.count)
+        order = np.argsort(of, kind="stable")
+        numbers, at = np.unique(of[order], return_index=True)
+        for s, rows in zip(numbers.tolist(), np.split(order, at[1:]), strict=True):
+            if s not in self.shards:
+                continue
+            m, seed, pilots, prints, counts, owners, sizes, none = self.shards[s]
+            place = probe_mph(shard_keys(h1[rows], h2[rows], seed), pilots, m)
+            hit[rows] = (prints[place] == h2[rows]) & (counts[place] >= min_docs)
+            owner[rows], size[rows], nobody[rows] = owners[place], sizes[place], none[place]
+        return hit, owner, size, nobody
+
+
+class Lines:
+    """Lines of a batch of texts that aren't blank: row, place within the text, hash, size."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts, row, place, digest, size = [], [], [], [], []
+        for i in range(len(texts)):
+            v = texts[i].as_buffer()
+            self.texts.append(None if v is None else v.to_pybytes())
+            if v is None:
+                continue
+            for k, y in enumerate(self.texts[-1].split(b"\n")):
+                x = y.strip(BLANKS)
+                if x:
+                    row.append(i), place.append(k), digest.append(xxhash.xxh3_128_digest(x)), size.append(len(x))
+        self.row, self.place, self.size = np.array(row, np.int64), np.array(place, np.int64), np.array(size, np.int64)
+        self.h1, self.h2 = halves(digest)
+
+    def without(self, dropped: np.ndarray) -> tuple[list, np.ndarray]:
+        """Texts without the dropped lines, and how many each lost."""
+        lost = np.bincount(self.row[dropped], minlength=len(self.texts))
+        out, first = list(self.texts), np.searchsorted(self.row, np.arange(len(self.texts) + 1))
+        for i in np.flatnonzero(lost).tolist():
+            gone = set(self.place[first[i] : first[i + 1]][dropped[first[i] : first[i + 1]]].tolist())
+            out[i] = b"\n".join(x for k, x in enumerate(self.texts[i].split(b"\n")) if k not in gone)
+        return out, lost
+
+
+def spared(lines: Lines, dropped: np.ndarray, owner: np.ndarray, owner_size: np.ndarray, share: float) -> np.ndarray:
+    """``dropped`` without the lines that a document shares with an owner of which it is a near copy."""
+    at = np.flatnonzero(dropped)
+    if not len(at):
+        return dropped
+    pair, back = np.unique(np.column_stack([lines.row[at], owner[at], owner_size[at]]), axis=0, return_inverse=True)
+    got = np.bincount(back.ravel(), lines.size[at])
+    own = np.array([len(t or b"") for t in lines.texts])
+    near = got >= share * np.maximum(own[pair[:, 0]], pair[:, 2])
+    out = dropped.copy()
+    out[at[near[back.ravel()]]] = False
+    return out
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col="doc_id", text_col="text", lost_col: str | None = None, max_broadcast: int = MAX_BROADCAST, lines_per_shard: int = LINES_PER_SHARD, spare: float | None = None) -> DataFrame:
+    """``docs`` with repeated lines dropped from all but their owners; all columns stay.
+
+    ``lost_col`` names an int column to add with the number of lines dropped;
+    it must be a new name. ``spare`` leaves near copies alone, as said above.
     """
+    if lost_col and lost_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {lost_col} already")
     spark = docs.sparkSession
-    lines = cut(shared_lines(docs, min_docs, id_col, text_col, long_words))
-    if long_words is not None:  # the index has nothing below either bar
-        min_docs = min(min_docs, LONG_DOCS)
-    blobs, shards = build_shards(lines, lines_per_shard)
-    blobs = cut(blobs)
-    size = blobs.agg(F.sum(F.length("pilots") + F.length("prints") + F.length("counts") + F.length("owners"))).first()[0] or 0
+    lines = cut(shared_lines(docs, min_docs, id_col, text_col))
+    if spare is not None:
+        sizes = docs.select(_number_of(docs, id_col).alias("owner"), F.octet_length(named(text_col)).cast("long").alias("size")).groupBy("owner").agg(F.max("size").alias("owner_size"))
+        lines = cut(lines.join(sizes, "owner", "left"))
+    else:
+        lines = lines.withColumn("owner_size", F.lit(0).cast("long"))
+    # from the most frequent lines on (by binary digits of their number of documents), what fits is broadcast
+    digits = F.length(F.bin("docs"))
+    room, bar, n_near, n_far = max_broadcast // LINE_BYTES, None, 0, 0
+    for r in lines.groupBy(digits.alias("digits")).agg(F.count("*").alias("n")).orderBy(F.desc("digits")).collect():
+        if n_far or n_near + r.n > room:
+            n_far += r.n
+        else:
+            n_near, bar = n_near + r.n, r.digits
+    near_shards, far_shards = -(-n_near // lines_per_shard), -(-n_far // lines_per_shard)
+    near = lines.where(digits >= bar) if bar is not None else None
+    blobs = [r.asDict() for r in build_shards(near, near_shards).collect()] if near_shards else []
+    arrays = spark.sparkContext.broadcast((blobs, near_shards))
     work = docs.withColumn(lost_col, F.lit(None).cast("int")) if lost_col else docs
-    id_at, text_at = work.columns.index(id_col), work.columns.index(text_col)
-    lost_at = work.columns.index(lost_col) if lost_col else None
-    if size <= max_broadcast:
-        arrays = spark.sparkContext.broadcast([r.asDict() for r in blobs.collect()])
-
-        def rewrite(batches):
-            found = Arrays(arrays.value)
-
-            def drop(ids, row, h1, h2):
-                shared, owner = found.probe(h1, h2, shards, min_docs)
-                return shared & (owner != ids[row])
-
-            for b in batches:
-                yield _rewritten(b, id_at, text_at, drop, lost_at)
-
-        return work.mapInArrow(rewrite, work.schema)
-    return _dedup_by_shuffle(work, blobs, shards, min_docs, id_col, text_col, id_at, text_at, lost_at)
-
-
-def _dedup_by_shuffle(work, blobs, shards, min_docs, id_col, text_col, id_at, text_at, lost_at):
-    """The way for arrays too large to broadcast: line hashes go to the shards, hashes to drop come back."""
-
-    def lines(batches):
+    number = fresh(work, "id_number")
+    if not n_far:
+        return _rewritten(work.withColumn(number, _number_of(docs, id_col)), number, None, text_col, lost_col, arrays, min_docs, spare)
+    far = cut(build_shards(lines.where(digits < bar) if bar is not None else lines, far_shards))
+    hits = cut(_far_hits(docs, far, far_shards, arrays, min_docs, id_col, text_col))
+    keyed = work.withColumn(number, _number_of(docs, id_col))
+    some = cut(hits.select("number").where("number is not null").distinct().withColumn("hash", F.xxhash64("number")))
+    probe = maybe_member(spark, some, "hash")
+    lists = hits.groupBy(F.col("number").alias("of")).agg(F.collect_list(F.struct("h1", "h2", "owner", "size")).alias("found"))
+    found = fresh(keyed, "found")
+    doubtful = keyed.where(probe(F.xxhash64(named(number))) | named(number).isNull())
+    of = fresh(keyed, "of")
+    joined = doubtful.join(lists.withColumnsRenamed({"found": found, "of": of}), named(number).eqNullSafe(named(of)), "left").drop(named(of))
+    clear = keyed.where(~probe(F.xxhash64(named(number))) & named(number).isNotNull())
+    return _rewritten(clear, number, None, text_col, lost_col, arrays, min_docs, spare).unionByName(_rewritten(joined, number, found, text_col, lost_col, arrays, min_docs, spare))
+
+
+def _rewritten(keyed: DataFrame, number: str, found: str | None, text_col: str, lost_col: str | None, arrays, min_docs: int, spare: float | None) -> DataFrame:
+    """Documents without the lines that others own. ``found`` has the lines that far shards know."""
+    names = keyed.columns
+    text_at, number_at = names.index(text_col), names.index(number)
+    lost_at, found_at = (names.index(c) if c else None for c in (lost_col, found))
+    keep = [i for i in range(len(names)) if i not in (number_at, found_at)]
+    def run(batches):
+        table = Arrays(*arrays.value)
         for b in batches:
-            _, row, h1, h2 = _split(b.column(1))
-            keep = (h1 != 0) | (h2 != 0)
-            row, h1, h2 = row[keep], h1[keep], h2[keep]
-            yield pa.RecordBatch.from_arrays([pa.array((h1 % np.int64(shards)).astype(np.int32)), pa.array(h1), pa.array(h2), b.column(0).take(pa.array(row))], ["shard", "h1", "h2", "id"])
-
-    asked = work.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(lines, "shard int, h1 long, h2 long, id long").distinct()
-
-    def answer(asked_rows: pa.Table, arrays: pa.Table) -> pa.Table:
-        if not len(arrays) or not len(asked_rows):
-            return asked_rows.select(["h1", "h2", "id"]).slice(0, 0)
-        one = Arrays(arrays.to_pylist())
-        h1, h2 = asked_rows.column("h1").to_numpy(), asked_rows.column("h2").to_numpy()
-        ids = asked_rows.column("id").combine_chunks().fill_null(int(NO_OWNER)).to_numpy()
-        shared, owner = one.probe(h1, h2, shards, min_docs)
-        return asked_rows.select(["h1", "h2", "id"]).filter(pa.array(shared & (owner != ids)))
-
-    hits = asked.groupBy("shard").cogroup(blobs.groupBy("shard")).applyInArrow(answer, "h1 long, h2 long, id long")
-    lists = hits.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("__ink_drop")).withColumnRenamed("id", "__ink_id")
-    joined = work.join(lists, F.col(id_col).cast("long").eqNullSafe(F.col("__ink_id")), "left").drop("__ink_id")
-
-    def rewrite(batches):
+            lines = Lines(b.column(text_at).cast(pa.binary()))
+            hit, owner, size, nobody = table.probe(lines.h1, lines.h2, min_docs)
+            ids = b.column(number_at)
+            null = ids.is_null().to_numpy(zero_copy_only=False)[lines.row]
+            mine = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)[lines.row]
+            dropped = hit & ~np.where(nobody, null, ~null & (owner == mine))
+            if found_at is not None:
+                _add_far(b.column(found_at), lines, dropped, owner, size)
+            if spare is not None:
+                dropped = spared(lines, dropped, owner, size, spare)
+            texts, lost = lines.without(dropped)
+            cols = list(b.columns)
+            cols[text_at] = pa.array(texts, pa.binary()).cast(b.schema.field(text_at).type)
+            if lost_at is not None:
+                cols[lost_at] = pa.array(lost.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([cols[i] for i in keep], names=[f"c{i}" for i in keep])
+
+    return map_rows(keyed, run, [keyed.schema.fields[i] for i in keep])
+
+
+def _add_far(column: pa.Array, lines: Lines, dropped: np.ndarray, owner: np.ndarray, size: np.ndarray) -> None:
+    """Marks the lines that the far shards know, with their owners."""
+    for i, found in enumerate(column.to_pylist()):
+        if found:
+            known = {(x["h1"] & 0xFFFFFFFFFFFFFFFF, x["h2"] & 0xFFFFFFFFFFFFFFFF): x for x in found}
+            a, e = np.searchsorted(lines.row, [i, i + 1])
+            for k in range(a, e):
+                x = known.get((int(lines.h1[k]), int(lines.h2[k])))
+                if x:
+                    dropped[k], owner[k], size[k] = True, x["owner"], x["size"]
+
+
+ASKED = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("number", "<i8"), ("null", "?")])
+FAR_HITS = "number long, h1 long, h2 long, owner long, size long"
+
+
+def _far_hits(docs: DataFrame, far: DataFrame, shards: int, arrays, min_docs: int, id_col: str, text_col: str) -> DataFrame:
+    """(number, h1, h2, owner, size): lines to drop that are in far shards; their hashes go there in blocks."""
+
+    def ask(batches):
+        near = Arrays(*arrays.value)
         for b in batches:
-            lists_ = b.column(b.num_columns - 1).to_pylist()
-            sets = [{(x["h1"], x["h2"]) for x in v} if v else () for v in lists_]
-
-            def drop(ids, row, h1, h2, sets=sets):
-                return np.array([(x, y) in sets[r] for r, x, y in zip(row.tolist(), h1.tolist(), h2.tolist(), strict=True)], bool)
-
-            yield _rewritten(b.select(b.schema.names[:-1]), id_at, text_at, drop, lost_at)
-
-    return joined.mapInArrow(rewrite, T.StructType(work.schema.fields))
+            lines = Lines(b.column(1))
+            open_ = np.flatnonzero(~near.probe(lines.h1, lines.h2, min_docs)[0])
+            asked = np.zeros(len(open_), ASKED)
+            ids = b.column(0)
+            asked["h1"], asked["h2"] = lines.h1[open_], lines.h2[open_]
+            asked["number"] = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)[lines.row[open_]]
+            asked["null"] = ids.is_null().to_numpy(zero_copy_only=False)[lines.row[open_]]
+            asked = np.unique(asked)
+            of = (asked["h1"].view(np.int64) % np.int64(shards)).astype(np.int32)
+            order = np.argsort(of, kind="stable")
+            asked, of = asked[order], of[order]
+            at = np.flatnonzero(np.r_[len(of) > 0, of[1:] != of[:-1]])
+            offsets = (np.r_[at, len(of)] * ASKED.itemsize).astype(np.int32)
+            blocks = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(asked))])
+            yield pa.RecordBatch.from_arrays([pa.array(of[at]), blocks], ["shard", "block"])
+
+    def answer(batches):
+        table, shard = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["block"] is None:  # a shard's arrays come before its blocks
+                    table, shard = Arrays([r], shards), r["shard"]
+                elif shard == r["shard"]:
+                    q = np.frombuffer(r["block"], ASKED)
+                    hit, owner, size, nobody = table.probe(np.ascontiguousarray(q["h1"]), np.ascontiguousarray(q["h2"]), min_docs)
+                    go = hit & ~np.where(nobody, q["null"], ~q["null"] & (owner == q["number"]))
+                    out.append((q[go], owner[go], size[go]))
+            q = np.concatenate([x[0] for x in out]) if out else np.zeros(0, ASKED)
+            rest = [np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(q["number"], mask=q["null"]), pa.array(q["h1"].view(np.int64)), pa.array(q["h2"].view(np.int64)), *map(pa.array, rest)], ["number", "h1", "h2", "owner", "size"])
+
+    base = docs.select(_number_of(docs, id_col).alias("number"), named(text_col).cast("binary").alias("t"))
+    asked = base.mapInArrow(ask, "shard int, block binary").select("shard", "block", *[F.lit(None).cast(f.dataType).alias(f.name) for f in far.schema.fields[1:]])
+    both = far.select("shard", F.lit(None).cast("binary").alias("block"), *far.columns[1:]).unionByName(asked)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards)
+    return both.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", F.col("block").isNotNull()).mapInArrow(answer, FAR_HITS)
 
 
 def op5(spark, sf_dir):

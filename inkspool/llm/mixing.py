@@ -10,7 +10,10 @@ beyond the few documents of the last bucket.
 
 Defined cases: a null text has 0 tokens; a null source is a source of its own;
 a null id is hashed as the text "null"; equal ids have equal hashes and stay or
-go together; a source that has less than its share is kept whole.
+go together; a source that has less than its share is kept whole, and what it
+lacks is not given to others, so that no other source exceeds its share; very
+long texts are counted whole; an empty table gives an empty result; ids and
+sources may have any type that can be cast to text, other columns any name.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, hash60, read, word_count
+from .common import cut, fresh, hash60, named, read, word_count
 
 BITS, LEVEL_BITS, LEVELS = 60, 12, 2
 
@@ -33,10 +36,10 @@ MAX_BROADCAST_SOURCES = 200_000
 def token_table(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """One narrow row a document: id, source, tokens, hash. The only pass over the texts."""
     return docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("src"),
-        word_count(F.col(text_col)).alias("tok"),
-        hash60(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("h"),
+        named(id_col).alias("id"),
+        named(source_col).alias("src"),
+        word_count(named(text_col)).alias("tok"),
+        hash60(F.coalesce(named(id_col).cast("string"), F.lit("null"))).alias("h"),
     )
 
 
@@ -107,8 +110,8 @@ def mix_levels(tokens: DataFrame, budgets=BUDGETS, weights: dict | None = None)
 
 def _with_limits(tokens: DataFrame, limits: DataFrame, n: int) -> DataFrame:
     few = limits.count() <= MAX_BROADCAST_SOURCES
-    limits = limits.withColumnRenamed("src", "__ink_src")
-    return tokens.join(F.broadcast(limits) if few else limits, F.col("src").eqNullSafe(F.col("__ink_src")))
+    limits = limits.withColumnRenamed("src", "limit_source")
+    return tokens.join(F.broadcast(limits) if few else limits, F.col("src").eqNullSafe(F.col("limit_source")))
 
 
 def mix(docs: DataFrame, budgets=BUDGETS, weights: dict | None = None, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
@@ -124,9 +127,10 @@ def mix_filter(docs: DataFrame, budget: float = 1.0, weights: dict | None = None
     tokens = cut(token_table(docs, id_col, text_col, source_col))
     limits = mix_levels(tokens, (budget,), weights)
     few = limits.count() <= MAX_BROADCAST_SOURCES
-    limits = limits.select(F.col("src").alias("__ink_src"), F.col("below_1").alias("__ink_below"))
-    h = hash60(F.coalesce(docs[id_col].cast("string"), F.lit("null")))
-    return docs.join(F.broadcast(limits) if few else limits, docs[source_col].eqNullSafe(F.col("__ink_src")) & (h < F.col("__ink_below")), "left_semi")
+    src, below = fresh(docs, "limit_source"), fresh(docs, "limit_below")
+    limits = limits.select(F.col("src").alias(src), F.col("below_1").alias(below))
+    h = hash60(F.coalesce(named(id_col).cast("string"), F.lit("null")))
+    return docs.join(F.broadcast(limits) if few else limits, named(source_col).eqNullSafe(named(src)) & (h < named(below)), "left_semi")
 
 
 def op1(spark, sf_dir):

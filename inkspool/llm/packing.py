@@ -12,7 +12,9 @@ its document, its first token and its number of tokens.
 
 Defined cases: null and empty texts have no tokens and no segment; rows with
 one id are packed once each; a null id is packed as null. Equal lengths are
-taken by id, then by first token.
+taken by id, then by first token; very long texts are cut into as many windows
+as they fill; an empty table gives an empty result; ids may have any type that
+can be ordered, other columns any name.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read, word_count
+from .common import named, read, word_count
 
 #: Tokens in a window.
 WINDOW = 2048
@@ -110,21 +113,21 @@ def pack(docs: DataFrame, size: int = WINDOW, docs_per_shard: int = DOCS_PER_SHA
     """One row a segment: (window_id, slot, doc_id, start_token, n_tokens)."""
     shards = max(1, -(-docs.count() // docs_per_shard))
     narrow = docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        tokens(F.col(text_col)).alias("n"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(shards)).cast("int").alias("shard"),
+        named(id_col).alias("id"),
+        tokens(named(text_col)).alias("n"),
+        F.pmod(F.xxhash64(named(id_col)), F.lit(shards)).cast("int").alias("shard"),
     ).where("n > 0")
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("n", "ascending")])
         ids = table.column("id").combine_chunks()
-        valid = ids.is_valid().to_numpy(zero_copy_only=False)
-        values = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        w, slot, row, start, n = pack_shard(values, valid, table.column("n").to_numpy(), size)
+        place = ids.dictionary_encode().indices  # ids are sorted: their number in order of appearance is their rank
+        valid = place.is_valid().to_numpy(zero_copy_only=False)
+        w, slot, row, start, n = pack_shard(place.fill_null(0).to_numpy(zero_copy_only=False), valid, table.column("n").to_numpy(), size)
         name = f"{table.column('shard')[0].as_py()}-"
         return pa.table({"window_id": pa.array([f"{name}{x}" for x in w.tolist()], pa.string()), "slot": pa.array(slot, pa.int32()), "doc_id": ids.take(pa.array(row)), "start_token": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64())})
 
-    return narrow.groupBy("shard").applyInArrow(shard, SCHEMA)
+    return narrow.groupBy("shard").applyInArrow(shard, T.StructType([T.StructField(f.name, narrow.schema["id"].dataType if f.name == "doc_id" else f.dataType) for f in T.StructType.fromDDL(SCHEMA)]))
 
 
 def op4(spark, sf_dir):

@@ -1,14 +1,17 @@
 """Toxicity by a subsequence string-kernel SVM with Nyström landmarks (operator 7).
 
 The kernel compares two short windows of text by the subsequences of three and
-four letters that they share, letters may be apart, and each letter in between
-multiplies a match by ``DECAY``. So an insult keeps most of its value when
-characters are inserted or its letters are spread with dots.
+four letters that they share. Letters may be apart, by up to two others each in
+three letters and by one in four, and each letter in between multiplies a match
+by ``DECAY``. So an insult keeps most of its value when characters are inserted
+or its letters are spread with dots; with three or more characters between all
+its letters it shares nothing with its plain form.
 
 Training (on the driver, over a bounded sample of labelled documents): letters
-frequent in toxic and rare in clean sentences show where the toxic sentences of
-a toxic document lie; windows from there, some with characters inserted, are
-positive, windows from clean sentences negative. A squared-hinge SVM is solved
+frequent in toxic and rare in clean documents show where the toxic sentences of
+a toxic document lie (labels are of documents, so sentences have to be found);
+windows from there, some with characters inserted, are positive, windows from
+clean documents negative. A squared-hinge SVM is solved
 on Nyström features K(x, landmarks) · K(landmarks)^(-1/2); the clean windows
 that score highest are added and it is solved again. The threshold is set on
 sampled documents that training did not see.
@@ -20,19 +23,19 @@ All windows have one length, which stands in for normalising the kernel.
 
 Defined cases: null and empty texts score null and are not toxic; without
 labels of both kinds nothing is toxic; ids with several labels are toxic if any
-says so, null labels are ignored; rows with one id get one result each.
+says so, null labels are ignored; rows with one id get one result each, and
+train as one document; very long texts are scored whole; an empty table gives
+an empty result; ids may have any type, other columns any name.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, hash60, read, text_bytes
+from .common import doc_chunks, hash60, map_rows, named, read, text_bytes, with_id
 
 #: Bounds of the labelled sample, by label.
 TRAIN_TOXIC, TRAIN_CLEAN = 800, 1600
@@ -292,13 +295,13 @@ def _scores(model: ToxicModel, texts: list[str]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic") -> ToxicModel | None:
     """Fit on the documents with the smallest id hashes, at most TRAIN_TOXIC and TRAIN_CLEAN of each label."""
-    said = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    said = labels.select(named(id_col).alias("id"), named(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     chosen: dict = {}
     for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN)):
         chosen |= {r.id: y for r in said.where(F.col("y") == y).orderBy(hash60(F.col("id")), "id").limit(n).collect()}
     if len(set(chosen.values())) < 2:
         return None
-    rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).limit(2 * len(chosen)).collect()
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("t")).where(F.col("id").isin(list(chosen))).groupBy("id").agg(F.min("t").alias("t")).collect()
     rows = sorted((r.id, r.t) for r in rows if r.t)
     return fit([t for i, t in rows if chosen[i]], [t for i, t in rows if not chosen[i]])
 
@@ -314,8 +317,8 @@ def score(docs: DataFrame, model: ToxicModel | None, id_col="doc_id", text_col="
             t = np.zeros(b.num_rows, bool) if m is None else s >= m.threshold
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, mask=np.isnan(s)), pa.array(t)], ["doc_id", "score", "toxic"])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return base.mapInArrow(run, "doc_id long, score double, toxic boolean")
+    base = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("t"))
+    return base.mapInArrow(run, with_id(base, "score double, toxic boolean"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel | None, text_col="text") -> DataFrame:
@@ -329,11 +332,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel | None, text_col="text") -> Da
                 b = b.filter(pa.array(~(m.scores(*text_bytes(b.column(at))) >= m.threshold)))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def sentences(text: str) -> list[str]:
-    return [s for s in re.split(r"[.!?\n]+", text) if s.strip()]
+    return map_rows(docs, run, docs.schema.fields)
 
 
 def op7(spark, sf_dir):

@@ -3,7 +3,7 @@
 Rules use the common ad-block notation: ``||host`` anchors at a host label,
 ``|`` at the start or end, ``*`` matches anything, ``^`` a separator or the
 end, ``@@`` makes an exception. ``/…/`` is a regular expression over the whole
-URL. A rule's literal tokens are the runs of [a-z0-9] that must stand in a URL
+URL. Options after ``$`` aren't supported and refused. A rule's literal tokens are the runs of [a-z0-9] that must stand in a URL
 as a whole token. The rule is filed under the one that is rarest in the corpus
 of URLs; the tokens of a URL fetch the rules filed under them, and only those
 run their regular expression. Rules without such a token are candidates always.
@@ -12,7 +12,9 @@ Matching ignores case. A URL's verdict is "allow" if any exception matches,
 else "block" if any rule does, else "none"; ``rules`` lists all that match.
 
 Defined cases: a null URL has the verdict "none" and no rules, like an empty
-one; repeated rows get one result each; ``rules`` is sorted by rule number.
+one; repeated rows get one result each; ``rules`` is sorted by rule number;
+very long URLs are searched whole; an empty table gives an empty result; ids
+may have any type, other columns any name.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import named, read, with_id
 
 RULES = (
     "||ads-track.example.com^",
@@ -51,6 +53,8 @@ class Rule:
 
     def __init__(self, number: int, text: str):
         self.number, self.text = number, text
+        if "$" in text and not (text.endswith("/") and text.removeprefix("@@").startswith("/")):
+            raise ValueError(f"options after $ aren't supported: {text}")
         self.allow = text.startswith("@@")
         body = text[2:].lower() if self.allow else text.lower() if not text.startswith("/") or not text.endswith("/") else text
         if len(body) > 1 and body.startswith("/") and body.endswith("/"):
@@ -82,7 +86,7 @@ def parse(rules=RULES) -> list[Rule]:
 def token_counts(pages: DataFrame, rules: list[Rule], url_col: str) -> dict[str, int]:
     """URLs that have each of the rules' tokens; at most one row a token reaches the driver."""
     wanted = pages.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
-    tokens = pages.select(F.explode(F.array_distinct(F.split(F.lower(url_col), "[^a-z0-9]+"))).alias("token"))
+    tokens = pages.select(F.explode(F.array_distinct(F.split(F.lower(named(url_col)), "[^a-z0-9]+"))).alias("token"))
     return {r.token: r.n for r in tokens.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
@@ -104,19 +108,26 @@ def verdicts(pages: DataFrame, rules=RULES, id_col="page_id", url_col="url") ->
 
     def run(batches):
         index, always = shared.value
-        compiled = {r.number: re.compile(r.pattern, re.ASCII | re.I) for rs in (*index.values(), always) for r in rs}
+        compiled: dict = {}
+
+        def matches(r, url):  # a rule is compiled when a URL first asks for it
+            if r.number not in compiled:
+                compiled[r.number] = re.compile(r.pattern, re.ASCII | re.I)
+            return compiled[r.number].search(url)
+
         for b in batches:
             verdict, hit = [], []
             for url in b.column(1).to_pylist():
                 found = []
                 if url:
                     candidates = [*always, *(r for t in set(_TOKEN.findall(url.lower())) for r in index.get(t, ()))]
-                    found = sorted((r for r in candidates if compiled[r.number].search(url)), key=lambda r: r.number)
+                    found = sorted((r for r in candidates if matches(r, url)), key=lambda r: r.number)
                 verdict.append("allow" if any(r.allow for r in found) else "block" if found else "none")
                 hit.append(",".join(str(r.number) for r in found))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(verdict, pa.string()), pa.array(hit, pa.string())], ["page_id", "url", "verdict", "rules"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")).mapInArrow(run, "page_id long, url string, verdict string, rules string")
+    base = pages.select(named(id_col).alias("page_id"), named(url_col).alias("url"))
+    return base.mapInArrow(run, with_id(base, "url string, verdict string, rules string"))
 
 
 def op3(spark, sf_dir):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ("id", "t", "h", "src", "tok", "n", "shard", "score", "toxic", "keep", "group_id", "ch", "rep", "hh", "key", "tab", "a", "b", "root", "owner", "docs", "below_1", "lvl", "state", "prob", "kinds", "text2")
+EXTRA = ("id", "t", "h", "src", "tok", "n", "shard", "score", "toxic", "keep", "group_id", "ch", "rep", "hh", "key", "tab", "a", "b", "root", "owner", "docs", "below_1", "lvl", "state", "prob", "kinds", "text2", "hash", "number", "found", "of", "gone", "lead", "twice", "part", "entries", "dropped_id", "limit_source", "limit_below", "lines_lost", "id_number", "a.b", "we`ird", "__ink_id", "__ink_h", "__ink_src", "__ink_below", "__ink_lost")
 
 
 def docs(spark, rows):
@@ -33,7 +33,7 @@ AWKWARD = [
 
 def awkward(spark, extra=True):
     df = docs(spark, AWKWARD)
-    return df.withColumns({c: F.lit(i) for i, c in enumerate(EXTRA)}) if extra else df
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(EXTRA)]) if extra else df
 
 
 def empty(spark):

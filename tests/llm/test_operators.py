@@ -130,9 +130,11 @@ def test_long_chains_close(spark):
 
 
 def test_languages_of_held_out_documents(spark):
-    df = spark.read.parquet(f"{SF1}/documents.parquet")
-    got = langid.predict(df, langid.train(df, train_docs=400)).join(df.select("doc_id", "lang", "text"), "doc_id").where(F.length("text") > 60).collect()
-    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+    df = spark.read.parquet(f"{SF1}/documents.parquet").dropDuplicates(["text"])
+    net = langid.train(df.where("doc_id % 2 = 0"), train_docs=400)
+    held = df.where(F.col("doc_id") % 2 == 1)
+    got = langid.predict(held, net).join(held.select("doc_id", "lang", "text"), "doc_id").where(F.length("text") > 60).collect()
+    assert len(got) > 300 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95
 
 
 def test_folded_filters_equal_plain_ones():
@@ -218,7 +220,7 @@ def test_pseudonyms_round_trip_and_stay_linked():
 
 def test_what_fails_validation_stays():
     text = "4111111111111112 and 300.1.1.1 and 2021-02-30 and 000-12-3456 and DE00370400440532013000 and version 3.11 and 123 and \"0123456789abcdef0123\""
-    assert pii.pseudonymize(text) == (text, [])
+    assert pii.pseudonymize(text, b"key") == (text, [])
 
 
 # exact dedup, fingerprints, urls

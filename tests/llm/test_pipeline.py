@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from inkspool.llm import linededup, mixing, packing, simhash, toxicity
+from inkspool.llm import mixing, packing, simhash, toxicity
 from inkspool.llm.common import text_bytes
 
 from .data import EXTRA, awkward, empty
@@ -15,14 +15,21 @@ SF1 = "/root/testdata/sf0.01"
 
 
 def brute_lines(rows):
-    seen = {}
+    seen, size = {}, {r["doc_id"]: len(r["text"].encode()) for r in rows}
     for r in rows:
         for x in {y.strip(" \t\r") for y in r["text"].split("\n")} - {""}:
             seen.setdefault(x, []).append(r["doc_id"])
+    owner = {x: min(ids) for x, ids in seen.items() if len(ids) >= 2}
     out = []
     for r in rows:
-        keep = [x for x in r["text"].split("\n") if not (len(seen.get(x.strip(" \t\r"), [])) >= linededup.MIN_DOCS and min(seen[x.strip(" \t\r")]) != r["doc_id"])]
-        text = "\n".join(keep)
+        lines, i = r["text"].split("\n"), r["doc_id"]
+        shared = {}
+        for x in lines:
+            x = x.strip(" \t\r")
+            if owner.get(x, i) != i:
+                shared[owner[x]] = shared.get(owner[x], 0) + len(x.encode())
+        copied = {o for o, n in shared.items() if n >= corpus_pipeline.NEAR_COPY * max(size[i], size[o])}
+        text = "\n".join(x for x in lines if owner.get(x.strip(" \t\r"), i) in {i, *copied})
         if text == r["text"] or text.strip(" \t\r\n"):
             out.append(r | {"text": text})
     return out
@@ -94,7 +101,15 @@ def test_stages_take_awkward_and_empty_tables(spark):
     assert len(awkward(spark).columns) == 5 + len(EXTRA)
 
 
-def test_copies_that_line_dedup_empties_go(spark):
-    rows = [(i, "One line that all share", "en", "s", 23) for i in range(8)] + [(9, None, "en", "s", 0), (10, " ", "en", "s", 1)]
+def test_documents_without_a_line_of_their_own_go(spark):
+    parts = [f"Line {i} that others share, with some words to it" for i in range(8)]
+    rows = [(i, f"{p}\nmy own {i}", "en", "s", 50) for i, p in enumerate(parts)] + [(8, "\n".join(parts), "en", "s", 400), (9, None, "en", "s", 0), (10, " ", "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert sorted(r.doc_id for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()) == [0, 9, 10]
+    assert sorted(r.doc_id for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 9, 10]
+
+
+def test_copies_reach_the_near_dedup_whole(spark):
+    rows = [(i, "One line that all share", "en", "s", 23) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.line_dedup_stage(spark, df, "")
+    assert out.count() == 8 and [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, out, "").collect()] == [0]
