@@ -137,12 +137,19 @@ def named(column: str) -> F.Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that copies of their texts stay small."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def map_rows(df: DataFrame, run, fields: list[T.StructField]) -> DataFrame:
     """``mapInArrow`` over all columns, whatever they are called; ``fields`` are those of the result, in order."""
     plain = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(fields)]
 
     def renamed(batches):
-        for b in run(batches):
+        for b in run(slices(batches)):
             yield b.rename_columns([f.name for f in plain])
 
     out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, T.StructType(plain))

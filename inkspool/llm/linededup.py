@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_rows, maybe_member, mix64, named, read
+from .common import cut, fresh, map_rows, maybe_member, mix64, named, read, slices
 
 #: Documents that must share a line before it counts as repeated.
 MIN_DOCS = 2
@@ -142,7 +142,7 @@ def shared_lines(docs: DataFrame, min_docs: int, id_col: str, text_col: str) ->
     """
 
     def lines(batches):
-        for b in batches:
+        for b in slices(batches):
             ids, texts = b.column(0), b.column(1)
             row, digest = [], []
             for i in range(len(texts)):
@@ -364,7 +364,7 @@ def _far_hits(docs: DataFrame, far: DataFrame, shards: int, arrays, min_docs: in
 
     def ask(batches):
         near = Arrays(*arrays.value)
-        for b in batches:
+        for b in slices(batches):
             lines = Lines(b.column(1))
             open_ = np.flatnonzero(~near.probe(lines.h1, lines.h2, min_docs)[0])
             asked = np.zeros(len(open_), ASKED)

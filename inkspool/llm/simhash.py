@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, cut, doc_chunks, drop_ids, mix64, named, read, text_bytes
+from .common import CHUNK_BYTES, cut, doc_chunks, drop_ids, mix64, named, read, slices, text_bytes
 
 BITS, WORDS = 256, 4
 #: Fingerprints that differ in at most this many of 256 bits are near duplicates.
@@ -156,7 +156,7 @@ def fingerprint_table(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
     """(id, f0..f3) of the documents that have an id and a word."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp, has = fingerprints(*text_bytes(b.column(1)))
             mask = pa.array(has)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), *[pa.array(fp[has, k].view(np.int64)) for k in range(WORDS)]], ["id", *PRINTS])
@@ -402,11 +402,9 @@ def near_edges(distinct: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     parts = max(1, -(-distinct.count() * ENTRY.itemsize // PART_BYTES))
 
     def spread(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                fp = np.ascontiguousarray(np.column_stack([b.column(p).to_numpy() for p in PRINTS]).view(np.uint64))
-                yield pa.RecordBatch.from_arrays(list(spread_entries(b.column("id").to_numpy(), fp, parts)), ["part", "entries"])
+        for b in slices(batches, 4096):
+            fp = np.ascontiguousarray(np.column_stack([b.column(p).to_numpy() for p in PRINTS]).view(np.uint64))
+            yield pa.RecordBatch.from_arrays(list(spread_entries(b.column("id").to_numpy(), fp, parts)), ["part", "entries"])
 
     def search(batches):
         blobs = [v.as_buffer() for b in batches for v in b.column(1)]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, hash60, map_rows, named, read, text_bytes, with_id
+from .common import doc_chunks, hash60, map_rows, named, read, slices, text_bytes, with_id
 
 #: Bounds of the labelled sample, by label.
 TRAIN_TOXIC, TRAIN_CLEAN = 800, 1600
@@ -312,7 +312,7 @@ def score(docs: DataFrame, model: ToxicModel | None, id_col="doc_id", text_col="
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             s = np.full(b.num_rows, np.nan) if m is None else m.scores(*text_bytes(b.column(1)))
             t = np.zeros(b.num_rows, bool) if m is None else s >= m.threshold
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, mask=np.isnan(s)), pa.array(t)], ["doc_id", "score", "toxic"])
