@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import io
+import os
+import shutil
+import subprocess
+import uuid
 import wave
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -12,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
 from ..params import DEFAULTS, Params
 from .groups import map_groups
 
@@ -55,13 +58,15 @@ class StubSpeech:
 
 
 class WavCodec:
-    """WAV clips of one format, joined with the standard library."""
+    """WAV clips, joined with the standard library. All clips of a chapter must have one format."""
+
+    format = "wav"
 
     @staticmethod
-    def _pack(pcm: bytes, rate: int = RATE) -> bytes:
+    def _pack(pcm: bytes, channels: int = 1, width: int = 2, rate: int = RATE) -> bytes:
         out = io.BytesIO()
         with wave.open(out, "wb") as w:
-            w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+            w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
             w.writeframes(pcm)
         return out.getvalue()
 
@@ -70,19 +75,49 @@ class WavCodec:
         return cls._pack(bytes(2 * (RATE * ms // 1000)))
 
     @staticmethod
-    def _open(clip: bytes) -> tuple[bytes, int]:
+    def _open(clip: bytes) -> tuple[bytes, tuple[int, int, int]]:
+        """Frames, and (channels, bytes a sample, rate)."""
         with wave.open(io.BytesIO(clip)) as w:
-            return w.readframes(w.getnframes()), w.getframerate()
+            return w.readframes(w.getnframes()), w.getparams()[:3]
 
     def duration_ms(self, clip: bytes) -> int:
-        pcm, rate = self._open(clip)
-        return len(pcm) // 2 * 1000 // rate
+        pcm, (channels, width, rate) = self._open(clip)
+        return len(pcm) // (channels * width) * 1000 // rate
 
     def join(self, clips: list[bytes], pause_ms: int) -> bytes:
         parts = [self._open(c) for c in clips]
-        rate = parts[0][1]
-        gap = bytes(2 * (rate * pause_ms // 1000))
-        return self._pack(gap.join(p for p, _ in parts), rate)
+        channels, width, rate = parts[0][1]
+        if any(p[1] != parts[0][1] for p in parts):
+            raise ValueError("clips of one chapter differ in channels, sample width or rate")
+        silence = b"\x80" if width == 1 else b"\x00"  # samples of one byte are unsigned
+        gap = silence * (channels * width * (rate * pause_ms // 1000))
+        return self._pack(gap.join(p for p, _ in parts), channels, width, rate)
+
+
+class EncoderCodec:
+    """Compressed clips through an encoder that is installed on the machines, WAV in between.
+
+    ``decode`` and ``encode`` are commands that read a clip from standard input
+    and write it to standard output, such as those of common audio tools.
+    """
+
+    def __init__(self, audio_format: str, decode: list[str], encode: list[str], timeout_s: float = 120):
+        self.format, self.decode, self.encode, self.timeout_s = audio_format, decode, encode, timeout_s
+
+    def configured(self) -> bool:
+        return all(shutil.which(c[0]) for c in (self.decode, self.encode))
+
+    def _run(self, command: list[str], data: bytes) -> bytes:
+        try:
+            return subprocess.run(command, input=data, capture_output=True, check=True, timeout=self.timeout_s).stdout
+        except subprocess.TimeoutExpired as e:
+            raise AudioStitchingTimeoutError(f"{command[0]} took more than {self.timeout_s} s") from e
+
+    def duration_ms(self, clip: bytes) -> int:
+        return WavCodec().duration_ms(self._run(self.decode, clip))
+
+    def join(self, clips: list[bytes], pause_ms: int) -> bytes:
+        return self._run(self.encode, WavCodec().join([self._run(self.decode, c) for c in clips], pause_ms))
 
 
 def speak(text: str, provider: SpeechProvider, voice: str | None = None) -> bytes:
@@ -111,8 +146,10 @@ def clips(texts: DataFrame, provider: SpeechProvider, voice: str | None = None,
     """TTS2-4: clips of numbered texts, up to ``tts_parallel`` calls at a time in a task.
 
     A text that fails is left out and leaves a gap in the order (kept with its
-    error if ``keep_errors``).
+    error if ``keep_errors``). A provider without settings is an error at once.
     """
+    if not provider.configured():
+        raise ValueError("the speech provider isn't configured")
 
     def one(text):
         try:
@@ -142,6 +179,8 @@ def stitch(clips_: DataFrame, codec: Codec, audio_format: str, p: Params = DEFAU
     """
     if audio_format != getattr(codec, "format", audio_format):
         raise ValueError(f"this codec doesn't write {audio_format}")
+    if not getattr(codec, "configured", lambda: True)():
+        raise ValueError(f"there is no encoder for {audio_format} on this machine")
 
     def run(table: pa.Table, bounds) -> pa.Table:
         out = []
@@ -160,12 +199,39 @@ def chapter_headers(stitched: DataFrame) -> DataFrame:
     return stitched.select("chapter_id", F.create_map(F.lit("X-Chapter-ID"), F.col("chapter_id").cast("string"), F.lit("X-Bubble-Count"), F.col("clips").cast("string"), F.lit("X-Duration-MS"), F.col("duration_ms").cast("string"), F.lit("X-Format"), F.col("format")).alias("headers"))
 
 
-def write_audio(stitched: DataFrame, path: str, partitions: int | None = None) -> None:
-    """SNK2: one Parquet row a chapter, partitioned by format; a binary column keeps files few."""
-    out = stitched.repartition(partitions) if partitions else stitched
-    out.write.mode("overwrite").partitionBy("format").parquet(path)
+def format_of(path: str) -> str:
+    """SNK2: the audio format that a file's extension stands for; mp3 without one."""
+    return os.path.splitext(path)[1].lstrip(".").lower() or DEFAULTS.audio_format
 
 
-def speakable(texts: DataFrame, text: str = "text") -> DataFrame:
-    """TTS1's own test: texts that aren't blank."""
-    return texts.where(strip(F.col(text)) != "")
+def stitch_to_files(clips_: DataFrame, codec: Codec, path: str, audio_format: str | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """SNK2: one audio file a chapter; (chapter_id, file, format, duration_ms, bytes) of what was written.
+
+    ``path`` has ``{chapter_id}`` in it and an extension that gives the format,
+    and names a folder that all machines share. A file that is there already is
+    replaced, as a whole, so that a task that runs twice leaves one good file.
+    """
+    if "{chapter_id}" not in path:
+        raise ValueError("the path needs {chapter_id}, as there is one file a chapter")
+    kind = audio_format or format_of(path)
+
+    def run(batches):
+        for b in batches:
+            files, sizes = [], []
+            for chapter, audio in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
+                name = path.replace("{chapter_id}", str(chapter))
+                os.makedirs(os.path.dirname(name) or ".", exist_ok=True)
+                part = f"{name}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(audio)
+                os.replace(part, name)
+                files.append(name), sizes.append(len(audio))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.string()), b.column(2), b.column(3), pa.array(sizes, pa.int64())], ["chapter_id", "file", "format", "duration_ms", "bytes"])
+
+    return stitch(clips_, codec, kind, p).mapInArrow(run, "chapter_id long, file string, format string, duration_ms long, bytes long")
+
+
+def write_audio(stitched: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
+    """One Parquet row a chapter, partitioned by format; a binary column keeps files few. What is at the path stays unless ``mode`` says otherwise."""
+    out = stitched.repartition(partitions) if partitions else stitched
+    out.write.mode(mode).partitionBy("format").parquet(path)

@@ -50,16 +50,19 @@ def candidates(bubbles: DataFrame, panels: DataFrame, p: Params = DEFAULTS) -> D
     """JOIN3, LIM1: pairs of a bubble at the bottom of panel k and one at the top of panel k + 1.
 
     At most ``max_candidates`` bubbles at the bottom, the last ones, take part.
-    Bubbles are cut to those at an edge before the join, which is on equal keys.
+    Bubbles are read once: each goes to the border it touches, which is known
+    by the panel above it, and the two sides of a border meet in one group.
     """
+    b = F.struct("reading_order", "text", *BOX)
+    low, high = F.col("height") - F.col("bottom") <= p.edge_gap_px, F.col("top") <= p.edge_gap_px
+    nothing = F.lit(None)
+    sides = F.array(F.struct(F.col("panel_id").alias("border"), F.when(low, b).alias("a"), F.when(nothing.isNotNull(), b).alias("b")), F.struct((F.col("panel_id") - 1).alias("border"), F.when(nothing.isNotNull(), b).alias("a"), F.when(high, b).alias("b")))
     h = panels.select("chapter_id", "panel_id", "height")
-    low = bubbles.join(h, ["chapter_id", "panel_id"]).where(F.col("height") - F.col("bottom") <= p.edge_gap_px)
-    newest = W.partitionBy("chapter_id", "panel_id").orderBy(F.desc("reading_order"))
-    low = low.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= p.max_candidates)
-    high = bubbles.where(F.col("top") <= p.edge_gap_px)
-    a = low.select("chapter_id", "panel_id", (F.col("panel_id") + 1).alias("next_panel"), *[F.col(c).alias(f"a_{c}") for c in ("reading_order", "text", *BOX)])
-    b = high.select(F.col("chapter_id").alias("_c"), F.col("panel_id").alias("_p"), *[F.col(c).alias(f"b_{c}") for c in ("reading_order", *BOX)])
-    return a.join(b, (F.col("chapter_id") == F.col("_c")) & (F.col("next_panel") == F.col("_p"))).drop("_c", "_p")
+    at = bubbles.join(h, ["chapter_id", "panel_id"], "left").select("chapter_id", F.inline(sides)).where("a is not null or b is not null")
+    # collect_list leaves nulls out
+    borders = at.groupBy("chapter_id", "border").agg(F.sort_array(F.collect_list("a"), asc=False).alias("as"), F.collect_list("b").alias("bs")).where((F.size("as") > 0) & (F.size("bs") > 0))
+    pairs = borders.select("chapter_id", "border", F.explode(F.slice("as", 1, p.max_candidates)).alias("a"), "bs").select("chapter_id", "border", "a", F.explode("bs").alias("b"))
+    return pairs.select("chapter_id", F.col("border").alias("panel_id"), (F.col("border") + 1).alias("next_panel"), *[F.col(f"a.{c}").alias(f"a_{c}") for c in ("reading_order", "text", *BOX)], *[F.col(f"b.{c}").alias(f"b_{c}") for c in ("reading_order", *BOX)])
 
 
 def matches(bubbles: DataFrame, panels: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -44,39 +44,136 @@ def word_edges(words: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def smallest_member(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Smallest member of each node's component: labels spread over edges, and jump to their label's label."""
+    """Smallest member of each node's component: roots of edges join, and labels jump to their label's label."""
     label = np.arange(n)
     while len(src):
-        low = np.minimum(label[src], label[dst])
-        before = label.copy()
-        np.minimum.at(label, label[src], low)
-        np.minimum.at(label, label[dst], low)
-        np.minimum.at(label, src, low)
-        np.minimum.at(label, dst, low)
-        label = label[label]
-        if (label == before).all():
-            break
+        a, b = label[src], label[dst]
+        apart = a != b
+        src, dst, a, b = src[apart], dst[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
     return label
 
 
+#: Pairs of words that are tested at a time.
+PAIRS_AT_ONCE = 1 << 19
+
+
 CLUSTER_SCHEMA = "chapter_id long, panel_id int, word_idx int, cluster_id int"
 
 
-def _close_pairs(box: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """JOIN1 on the words of one panel at once."""
-    i, j = np.triu_indices(len(box), 1)
-    (l1, t1, r1, b1), (l2, t2, r2, b2) = box[i].T, box[j].T
+def _close(a: np.ndarray, b: np.ndarray, p: Params) -> np.ndarray:
+    """JOIN1's predicate on rows of boxes; a comes before b in its panel."""
+    (l1, t1, r1, b1), (l2, t2, r2, b2) = a.T, b.T
     gap = np.where(l1 > r2, l1 - r2, l2 - r1)
     width = ((r1 - l1) + (r2 - l2)) / 2.0
     keep = gap <= np.maximum(p.wide_reject_px, p.wide_reject_widths * width)
     down = np.where(t1 > b2, t1 - b2, t2 - b1)
-    tall = np.maximum(b1 - t1, b2 - t2)
-    shared = np.minimum(b1, b2) - np.maximum(t1, t2)
-    over = np.divide(shared, tall, out=np.zeros(len(i)), where=tall > 0)
     line = gap < np.minimum(p.same_line_gap_px, p.same_line_gap_widths * width)
     stacked = (down < p.max_vertical_gap) & ((np.minimum(r1, r2) - np.maximum(l1, l2) > 0) | (gap < p.stacked_gap_px))
-    keep &= np.where(over > p.same_line_overlap, line, stacked)
-    return i[keep], j[keep]
+    return keep & np.where(_overlap(a, b) > p.same_line_overlap, line, stacked)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """GEO3 on rows of boxes."""
+    tall = np.maximum(a[..., 3] - a[..., 1], b[..., 3] - b[..., 1])
+    shared = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+    return np.divide(shared, tall, out=np.zeros(np.broadcast(shared, tall).shape), where=tall > 0)
+
+
+def close_pairs(box: np.ndarray, panel: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """JOIN1 on the words of many panels, whose numbers ascend: (i, j), i < j.
+
+    Words are sorted by top, and each is tested with those whose top lies
+    within its reach below: one that starts lower can't be close. So the work
+    follows the words near each other, not the square of a panel.
+    """
+    n = len(box)
+    order = np.lexsort((box[:, 1], panel))
+    top, of = box[order, 1], panel[order]
+    span = int(top.max() - top.min()) + 2 if n else 1
+    place = of * span + (top - (top.min() if n else 0))
+    reach = np.minimum(np.maximum(box[order, 3], top) + p.max_vertical_gap - (top.min() if n else 0), span - 1)
+    last = np.searchsorted(place, of * span + reach, side="left")
+    upside = np.isin(of, of[box[order, 3] < top])  # a box whose bottom lies above its top may be close to any
+    last = np.where(upside, np.searchsorted(of, of, side="right"), last)
+    count = np.maximum(last - np.arange(n) - 1, 0)
+    run, src, dst, a = np.cumsum(count), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while a < n:
+        e = max(a + 1, int(np.searchsorted(run, (run[a - 1] if a else 0) + PAIRS_AT_ONCE, side="right")))
+        c = count[a:e]
+        x = np.repeat(np.arange(a, e), c)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+        i, j = np.minimum(order[x], order[y]), np.maximum(order[x], order[y])
+        keep = _close(box[i], box[j], p)
+        src.append(i[keep]), dst.append(j[keep])
+        a = e
+    return np.concatenate(src), np.concatenate(dst)
+
+
+def _first_rows(label: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where in ``order``, which sorts by label, each label starts."""
+    x = label[order]
+    return np.flatnonzero(np.r_[len(x) > 0, x[1:] != x[:-1]])
+
+
+def islands(box: np.ndarray, label: np.ndarray, p: Params) -> np.ndarray:
+    """WIN1-3 on clusters of many panels: the running number of cuts for each word."""
+    order = np.argsort(label, kind="stable")
+    at = _first_rows(label, order)
+    size = np.diff(np.r_[at, len(order)])
+    low, high = (f.reduceat(box[order], at, axis=0) if len(at) else box for f in (np.minimum, np.maximum))
+    axis = np.where(high[:, 2] - low[:, 0] > p.wide_bubble_px, 1, np.where(high[:, 3] - low[:, 1] > p.tall_bubble_px, 2, 0))
+    each = np.empty(len(box), np.int64)
+    each[order] = np.repeat(axis, size)
+    from_, to = np.where(each == 2, box[:, 1], box[:, 0]), np.where(each == 2, box[:, 3], box[:, 2])
+    order = np.lexsort((np.arange(len(box)), from_, label))
+    b, k = box[order], each[order]
+    gap = np.r_[0, from_[order][1:] - to[order][:-1]]
+    width = b[:, 2] - b[:, 0]
+    wide = np.minimum(p.wide_cut_px, np.maximum(p.wide_cut_floor_px, p.wide_cut_widths * (np.r_[0, width[:-1]] + width) / 2.0))
+    cut = np.where(k == 1, gap > wide, (k == 2) & (gap > p.tall_cut_px))
+    cut[at] = False
+    run = np.cumsum(cut)
+    out = np.empty(len(box), np.int64)
+    out[order] = run - np.repeat(run[at], size)
+    return out
+
+
+def read_words(box: np.ndarray, p: Params) -> np.ndarray:
+    """WIN4, SORT1: positions of one bubble's words in reading order."""
+    n = len(box)
+    if n < 2:
+        return np.arange(n)
+    over = _overlap(box[:, None], box[None, :]) > p.same_line_overlap if n <= 1024 else None
+    line, lines = np.zeros(n, np.int64), 0
+    for i in range(n):
+        same = over[i, :i] if over is not None else _overlap(box[i], box[:i]) > p.same_line_overlap
+        met = line[:i][same]
+        if len(met):
+            line[i] = met.min()
+        else:
+            line[i], lines = lines, lines + 1
+    top = np.bincount(line, box[:, 1]) / np.bincount(line)
+    return np.lexsort((np.arange(n), box[:, 0], line, top[line]))
+
+
+def bubbles_of_panels(box: np.ndarray, bounds: np.ndarray, p: Params) -> list[list[np.ndarray]]:
+    """Words of each panel, from bounds[k] to bounds[k + 1], as bubbles in reading order: positions of their words in theirs."""
+    panel = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    label = smallest_member(len(box), *close_pairs(box, panel, p))
+    island = islands(box, label, p)
+    order = np.lexsort((np.arange(len(box)), island, label))
+    key = np.column_stack([label, island])[order]
+    at = np.flatnonzero(np.r_[len(key) > 0, (key[1:] != key[:-1]).any(axis=1)])
+    parts = np.split(order, at[1:]) if len(at) else []
+    low = np.minimum.reduceat(box[order], at, axis=0) if len(at) else box
+    out: list[list[np.ndarray]] = [[] for _ in range(len(bounds) - 1)]
+    for k in np.lexsort((key[at, 1], key[at, 0], low[:, 0], low[:, 1])).tolist():
+        rows, of = parts[k], int(panel[parts[k][0]])
+        out[of].append(rows[read_words(box[rows], p)] - bounds[of])
+    return out
 
 
 def clusters(words: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -88,9 +185,8 @@ def clusters(words: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     def run(table: pa.Table, bounds: np.ndarray) -> pa.Table:
         box = np.column_stack([table.column(c).to_numpy().astype(np.int64) for c in BOX])
         idx = table.column("word_idx").to_numpy()
-        out = np.empty(len(idx), np.int32)
-        for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            out[a:e] = idx[a:e][smallest_member(e - a, *_close_pairs(box[a:e], p))]
+        panel = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        out = idx[smallest_member(len(idx), *close_pairs(box, panel, p))].astype(np.int32)
         return table.select([*PANEL, "word_idx"]).append_column("cluster_id", pa.array(out))
 
     return map_groups(words.select(*PANEL, "word_idx", *BOX), PANEL, ["word_idx"], run, CLUSTER_SCHEMA)
@@ -176,8 +272,31 @@ def clustered_words(words: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def group_into_bubbles(words: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """GRP: JOIN1 and 2, WIN1 to 3, AGG1, SORT2."""
-    return build_bubbles(split_clusters(clustered_words(words, p), p), p)
+    """GRP: JOIN1 and 2, WIN1 to 4, SORT1 and 2, AGG1 in one shuffle.
+
+    A panel's words become one row; their boxes go to Python, which returns the
+    bubbles as lists of positions; words are put in place in the JVM. Rows stay
+    hashed by panel, so later steps by panel don't shuffle again. Gives the same
+    as ``build_bubbles(split_clusters(clustered_words(words)))``.
+    """
+
+    @F.arrow_udf("array<array<int>>")
+    def bubbles(left: pa.Array, top: pa.Array, right: pa.Array, bottom: pa.Array) -> pa.Array:
+        bounds = left.offsets.to_numpy().astype(np.int64)
+        bounds = bounds - bounds[0]
+        box = np.column_stack([x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, top, right, bottom)])
+        found = bubbles_of_panels(box, bounds, p)
+        words_ = [w for panel in found for w in panel]
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(w) for w in words_])].astype(np.int32)), pa.array(np.concatenate([*words_, np.zeros(0, np.int64)]).astype(np.int32)))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)), inner)
+
+    word = F.struct("word_idx", "text", *BOX)
+    panels = words.groupBy(*PANEL).agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    each = lambda words, c: F.transform(words, lambda w: w[c])
+    one = panels.select(*PANEL, "ws", F.posexplode(bubbles(*[each("ws", c) for c in BOX])).alias("at", "found"))
+    placed = one.select(*PANEL, (F.col("at") + 1).alias("reading_order"), F.transform("found", lambda i: F.get("ws", i)).alias("words"))
+    box = [f(each("words", c)).alias(c) for f, c in zip((F.array_min, F.array_min, F.array_max, F.array_max), BOX, strict=True)]
+    return placed.select(*PANEL, "reading_order", F.array_join(each("words", "text"), " ").alias("text"), *box, "words")
 
 
 def with_metadata(bubbles: DataFrame, p: Params = DEFAULTS) -> DataFrame:

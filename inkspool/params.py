@@ -92,12 +92,26 @@ class Params:
     tts_similarity: float = 0.75
     pause_ms: int = 700  # 0 means default
     audio_format: str = "mp3"
+    ocr_credentials: str = ""
+    tts_key: str = ""
+    tts_voice: str = ""
 
     def __post_init__(self):
         for name in ("max_vertical_gap", "pause_ms"):
             if not getattr(self, name):
                 object.__setattr__(self, name, type(self).__dataclass_fields__[name].default)
         checked_box_weights(self.box_weights)
+        object.__setattr__(self, "text_weights", scaled_text_weights(self.text_weights))
+
+    @property
+    def ocr_configured(self) -> bool:
+        """SRC7: there is a path to credentials, and something at it."""
+        return bool(self.ocr_credentials) and os.path.exists(self.ocr_credentials)
+
+    @property
+    def tts_configured(self) -> bool:
+        """SRC7: there are a key and a voice."""
+        return bool(self.tts_key) and bool(self.tts_voice)
 
     @classmethod
     def from_env(cls, prefix: str = "INKSPOOL_") -> Params:

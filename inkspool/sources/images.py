@@ -12,10 +12,17 @@ from ..params import DEFAULTS, Params
 
 
 def read_pages(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """SRC1: manifest(chapter_id, panel_id, path) with the files' bytes; absent files have null content."""
+    """SRC1: manifest(chapter_id, panel_id, path) with the files' bytes; absent files have null content.
+
+    ``path`` is relative to ``root``, as chapter/1.png. Paths are compared as a
+    whole, so files of one name in several folders are told apart.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
-    return manifest.join(files, "path", "left").select("chapter_id", "panel_id", "content")
+    files = files.select(F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path")).alias("at"), "content")
+    wanted = manifest.select("chapter_id", "panel_id", F.regexp_replace(F.col("path"), r"^(\\./|/)+", "").alias("wanted"))
+    return wanted.join(files, F.col("wanted") == F.col("at"), "left").select("chapter_id", "panel_id", "content")
 
 
 def chapter_status(pages: DataFrame, p: Params = DEFAULTS) -> DataFrame:
