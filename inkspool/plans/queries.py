@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import language as lng
 from ..functions import text as txt
 from ..operators import audio, classify, continuation, grouping
-from ..operators.lineage import checkpointed
+from ..operators.lineage import checkpointed, shared_folder
 from ..params import DEFAULTS, TEXT_WEIGHTS, Params, scaled_text_weights
 from ..sources import images, ocr
 from ..sources.fixtures import VIRTUAL_SQL, table, virtual_panels, virtual_words
@@ -487,11 +489,32 @@ def cls6(spark, sf_dir):
 # ---- continuation
 
 LAST = f"right({sql.strip('a_text')}, 1)"
-CAND_SQL = f"""{GROUP_SQL}, low AS (SELECT b.*, row_number() OVER (PARTITION BY b.chapter_id, b.panel_id ORDER BY reading_order DESC) AS rk FROM bubbles b JOIN panels p USING (chapter_id, panel_id) WHERE p.height - b.bottom <= 50),
-cand AS (SELECT a.chapter_id, a.panel_id, a.panel_id + 1 AS next_panel, a.reading_order AS prev_order, b.reading_order AS next_order, a.text AS a_text, {', '.join(f'a.{chr(34)}{c}{chr(34)} AS a_{c}, b.{chr(34)}{c}{chr(34)} AS b_{c}' for c in grouping.BOX)}
-  FROM low a JOIN bubbles b ON a.chapter_id = b.chapter_id AND b.panel_id = a.panel_id + 1 WHERE a.rk <= 10 AND b.top <= 50)"""
-MATCH_SQL = f"""{CAND_SQL}, sc AS (SELECT *, {sql.horizontal_alignment('a_', 'b_')} AS al, {sql.width_similarity('a_', 'b_')} AS ws, {LAST} AS lc FROM cand),
-found AS (SELECT *, CASE WHEN ws >= 0.7::DOUBLE AND lc <> '' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM sc WHERE al >= 0.6::DOUBLE AND CASE WHEN lc = '' THEN ws >= 0.7::DOUBLE ELSE lc NOT IN ('.', '!', '?') END)"""
+
+
+def continuation_sql(src: str) -> str:
+    """JOIN3, CON2, JOIN4 and CON3 over the bubbles of ``src``: cand, found, links, merged."""
+    boxes = ", ".join(f"a.{chr(34)}{c}{chr(34)} AS a_{c}, b.{chr(34)}{c}{chr(34)} AS b_{c}" for c in grouping.BOX)
+    last = ", ".join(f"arg_max(b.{chr(34)}{c}{chr(34)}, n) AS {chr(34)}{c}{chr(34)}" for c in ("panel_id", *grouping.BOX))
+    clash = "(list_contains(g.up, m.prev_order) OR list_contains(g.un, m.next_order))"
+    return f"""low AS (SELECT b.*, row_number() OVER (PARTITION BY b.chapter_id, b.panel_id ORDER BY reading_order DESC) AS rk FROM {src} b JOIN panels p USING (chapter_id, panel_id) WHERE p.height - b.bottom <= 50),
+cand AS (SELECT a.chapter_id, a.panel_id, a.panel_id + 1 AS next_panel, a.reading_order AS prev_order, b.reading_order AS next_order, a.text AS a_text, {boxes}
+  FROM low a JOIN {src} b ON a.chapter_id = b.chapter_id AND b.panel_id = a.panel_id + 1 WHERE a.rk <= 10 AND b.top <= 50),
+sc AS (SELECT *, {sql.horizontal_alignment('a_', 'b_')} AS al, {sql.width_similarity('a_', 'b_')} AS ws, {LAST} AS lc FROM cand),
+found AS (SELECT *, CASE WHEN ws >= 0.7::DOUBLE AND lc <> '' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM sc WHERE al >= 0.6::DOUBLE AND CASE WHEN lc = '' THEN ws >= 0.7::DOUBLE ELSE lc NOT IN ('.', '!', '?') END),
+mk AS (SELECT *, row_number() OVER (PARTITION BY chapter_id, panel_id ORDER BY prev_order, next_order) AS k FROM found),
+gr(chapter_id, panel_id, k, took, up, un) AS (SELECT DISTINCT chapter_id, panel_id, CAST(0 AS BIGINT), false, CAST([] AS INTEGER[]), CAST([] AS INTEGER[]) FROM mk
+  UNION ALL SELECT m.chapter_id, m.panel_id, m.k, NOT {clash}, CASE WHEN {clash} THEN g.up ELSE list_append(g.up, m.prev_order) END, CASE WHEN {clash} THEN g.un ELSE list_append(g.un, m.next_order) END
+  FROM gr g JOIN mk m ON m.chapter_id = g.chapter_id AND m.panel_id = g.panel_id AND m.k = g.k + 1),
+links AS (SELECT m.* FROM mk m JOIN gr g USING (chapter_id, panel_id, k) WHERE g.took),
+chain(chapter_id, hp, ho, panel_id, reading_order, n) AS (SELECT chapter_id, panel_id, reading_order, panel_id, reading_order, 1 FROM {src} b
+    WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.chapter_id = b.chapter_id AND l.next_panel = b.panel_id AND l.next_order = b.reading_order)
+  UNION ALL SELECT c.chapter_id, c.hp, c.ho, l.next_panel, l.next_order, c.n + 1 FROM chain c JOIN links l ON l.chapter_id = c.chapter_id AND l.panel_id = c.panel_id AND l.prev_order = c.reading_order),
+merged AS (SELECT *, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY hp, ho) - 1 AS INTEGER) AS bubble_idx FROM (
+  SELECT c.chapter_id, c.hp, c.ho, c.ho AS head_order, string_agg(b.text, ' ' ORDER BY n) AS text, {last}, CAST(count(*) AS INTEGER) AS parts, CAST(sum(b.n_words) AS BIGINT) AS word_count
+  FROM chain c JOIN {src} b USING (chapter_id, panel_id, reading_order) GROUP BY c.chapter_id, c.hp, c.ho))"""
+
+
+CAND_SQL = MATCH_SQL = f"{GROUP_SQL}, {continuation_sql('bubbles')}"
 
 
 @query("con1_incomplete_sentence", f"{GROUP_SQL} SELECT {BUBBLE_KEY}, CASE WHEN {sql.strip('text')} = '' THEN false ELSE right({sql.strip('text')}, 1) NOT IN ('.', '!', '?') END AS incomplete FROM bubbles")
@@ -519,19 +542,19 @@ def con2(spark, sf_dir):
     return continuation.matches(grouping.group_into_bubbles(w), p).drop("reason")
 
 
-@query("join4_greedy_matching")
+@query("join4_greedy_matching", f"{MATCH_SQL} SELECT chapter_id, panel_id, next_panel, prev_order, next_order, confidence FROM links")
 def join4(spark, sf_dir):
     w, p = words_and_panels(spark, sf_dir)
     return continuation.greedy(continuation.matches(grouping.group_into_bubbles(w), p))
 
 
-@query("con3_merge_continuations")
+@query("con3_merge_continuations", f'{MATCH_SQL} SELECT chapter_id, bubble_idx, panel_id, head_order AS reading_order, text, "left", top, "right", bottom, parts, word_count FROM merged')
 def con3(spark, sf_dir):
     w, p = words_and_panels(spark, sf_dir)
     return continuation.merge(grouping.group_into_bubbles(w), p)
 
 
-@query("con3_merge_native")
+@query("con3_merge_native", f'{MATCH_SQL} SELECT chapter_id, panel_id, head_order AS reading_order, text, "left", top, "right", bottom, parts FROM merged')
 def con3_native(spark, sf_dir):
     w, p = words_and_panels(spark, sf_dir)
     return continuation.merge_native(grouping.group_into_bubbles(w), p)
@@ -639,13 +662,21 @@ def snk1(spark, sf_dir):
     return h.select("chapter_id", F.col("headers")["X-Chapter-ID"].alias("h_chapter"), F.col("headers")["X-Bubble-Count"].alias("h_bubbles"), F.col("headers")["X-Duration-MS"].alias("h_ms"), F.col("headers")["X-Format"].alias("h_format"))
 
 
-@query("pipe_chapter_lines")
+LINES_SQL = f"""{BUBBLE_BOX_SQL}, dlg AS (SELECT b.* FROM bubbles b JOIN scored s USING (chapter_id, panel_id, reading_order) WHERE s.score >= 0.60::DOUBLE), {continuation_sql('dlg')},
+spoken AS (SELECT chapter_id, bubble_idx, {sql.normalize('text')} AS text FROM merged WHERE {sql.strip('text')} <> '' AND {sql.normalize('text')} <> '')"""
+STATUS_SQL = f"""{LINES_SQL}, n AS (SELECT p.chapter_id, count(*) AS n_images, any_value((SELECT count(*) FROM words w WHERE w.chapter_id = p.chapter_id)) AS n_words,
+  any_value((SELECT count(*) FROM dlg d WHERE d.chapter_id = p.chapter_id)) AS n_bubbles, any_value((SELECT count(*) FROM spoken s WHERE s.chapter_id = p.chapter_id)) AS n_texts FROM panels p GROUP BY p.chapter_id),
+e AS (SELECT *, CASE WHEN n_images > 150 THEN 'too many images' WHEN n_bubbles = 0 THEN 'no bubbles' WHEN n_texts = 0 THEN 'no text after preprocessing' END AS error FROM n)
+SELECT chapter_id, n_images, n_words, n_bubbles, n_texts, CASE WHEN error IS NULL THEN 200 ELSE 400 END AS status, error FROM e"""
+
+
+@query("pipe_chapter_lines", f"{LINES_SQL} SELECT chapter_id, bubble_idx, text FROM spoken")
 def pipe(spark, sf_dir):
     w, p = words_and_panels(spark, sf_dir)
     return chapter.lines(w, p)
 
 
-@query("pipe_chapter_status")
+@query("pipe_chapter_status", STATUS_SQL)
 def pipe_status(spark, sf_dir):
     w, p = words_and_panels(spark, sf_dir)
     d = checkpointed(chapter.dialogue_bubbles(w, p))
@@ -654,6 +685,85 @@ def pipe_status(spark, sf_dir):
     return chapter.status(p, w, d, spoken)
 
 
+@query("pipe_chapter_audio")
+def pipe_audio(spark, sf_dir):
+    """Pages of text, read by the stub, to audio; the stub's pages have no header, so sizes are given."""
+    pages = pages_of(spark, sf_dir)
+    sizes = pages.select("chapter_id", "panel_id", F.lit(4000).alias("width"), F.lit(1000).alias("height"))
+    out = chapter.process(pages, ocr.StubOcr(), audio.StubSpeech(), audio.WavCodec(), "wav", sizes=sizes)
+    return out.withColumn("bytes", F.length("audio").cast("long")).drop("audio")
+
+
+@query("src5_retry_pauses", "WITH RECURSIVE r(attempt, pause, ends) AS (SELECT 1, 1.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT attempt + 1, least(2 * pause, 10), ends + least(2 * pause, 10) FROM r WHERE ends + least(2 * pause, 10) <= 60) SELECT * FROM r")
+def src5(spark, sf_dir):
+    """What a call that always fails waits before each new try."""
+    pauses, now = [], [0.0]
+
+    def sleep(s):
+        now[0] += s
+        pauses.append((len(pauses) + 1, float(s), now[0]))
+
+    def fail():
+        raise ocr.TransientError
+
+    try:
+        ocr.with_retry(fail, sleep=sleep, clock=lambda: now[0])
+    except ocr.TransientError:
+        return spark.createDataFrame(pauses, "attempt int, pause double, ends double")
+
+
+SETTINGS = {"nothing": {}, "no such file": {"ocr_credentials": "/no/such/file"}, "a file": {"ocr_credentials": __file__}, "key only": {"tts_key": "k"}, "key and voice": {"tts_key": "k", "tts_voice": "v"}}
+
+
+@query("src7_settings", "SELECT * FROM (VALUES ('nothing', false, false), ('no such file', false, false), ('a file', true, false), ('key only', false, false), ('key and voice', false, true)) AS v(settings, ocr_configured, tts_configured)")
+def src7(spark, sf_dir):
+    rows = [(k, Params(**v).ocr_configured, Params(**v).tts_configured) for k, v in SETTINGS.items()]
+    return spark.createDataFrame(rows, "settings string, ocr_configured boolean, tts_configured boolean")
+
+
+@query("api1_health", "SELECT 'healthy' AS status, false AS ocr_configured, false AS tts_configured")
+def api1(spark, sf_dir):
+    return spark.createDataFrame([("healthy", DEFAULTS.ocr_configured, DEFAULTS.tts_configured)], "status string, ocr_configured boolean, tts_configured boolean")
+
+
+@query("snk2_audio_files", f"{AUD_SQL} SELECT chapter_id, 'wav' AS format, duration_ms, 44 + 16 * duration_ms AS bytes FROM au")
+def snk2(spark, sf_dir):
+    """One file a chapter in the shared folder, which is a mounted one in this query."""
+    folder = shared_folder(spark).removeprefix("file:")
+    path = f"{folder}/audio-{uuid.uuid4().hex}/{{chapter_id}}.wav"
+    return audio.stitch_to_files(audio.clips(spoken_texts(spark, sf_dir), audio.StubSpeech()), audio.WavCodec(), path).drop("file")
+
+
+@query("tts2_parallel_batch", f"WITH {SPOKEN_SQL} SELECT chapter_id, count(*) AS clips, CAST(sum(reading_order) AS BIGINT) AS orders FROM cl GROUP BY chapter_id")
+def tts2(spark, sf_dir):
+    c = audio.clips(spoken_texts(spark, sf_dir), audio.StubSpeech(), p=Params(tts_parallel=8))
+    return c.groupBy("chapter_id").agg(F.count("*").alias("clips"), F.sum("reading_order").alias("orders"))
+
+
+@query("tts4_one_at_a_time", f"WITH {SPOKEN_SQL} SELECT chapter_id, reading_order, text, 'stub' AS voice_id FROM cl")
+def tts4(spark, sf_dir):
+    return audio.clips(spoken_texts(spark, sf_dir), audio.StubSpeech(), p=Params(tts_parallel=1)).select("chapter_id", "reading_order", "text", "voice_id")
+
+
+class NotBytes(audio.StubSpeech):
+    def speak(self, text, voice):
+        return 5
+
+
+@query("tts5_not_bytes", f"WITH {SPOKEN_SQL} SELECT chapter_id, reading_order, 'TypeError: audio must be bytes, not int' AS error FROM sp")
+def tts5(spark, sf_dir):
+    return audio.clips(spoken_texts(spark, sf_dir), NotBytes(), keep_errors=True).select("chapter_id", "reading_order", "error")
+
+
+@query("aud4_timeout", "SELECT 'encoder that hangs' AS codec, 'AudioStitchingTimeoutError' AS error")
+def aud4(spark, sf_dir):
+    slow = audio.EncoderCodec("wav", ["cat"], ["sleep", "20"], timeout_s=0.2)
+    try:
+        slow.join([audio.WavCodec.silence(10)], 5)
+    except audio.AudioStitchingTimeoutError as e:
+        return spark.createDataFrame([("encoder that hangs", type(e).__name__)], "codec string, error string")
+
+
 @query(
     "pipe_dialogue_by_chapter",
     f"{BUBBLE_BOX_SQL} SELECT chapter_id, count(*) AS bubbles, count(*) FILTER (WHERE score >= 0.60::DOUBLE) AS dialogue, CAST(sum(CASE WHEN score >= 0.60::DOUBLE THEN n_words ELSE 0 END) AS BIGINT) AS words_in_dialogue FROM scored GROUP BY chapter_id",

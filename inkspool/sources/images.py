@@ -21,7 +21,7 @@ def read_pages(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame
     base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     files = files.select(F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path")).alias("at"), "content")
-    wanted = manifest.select("chapter_id", "panel_id", F.regexp_replace(F.col("path"), r"^(\\./|/)+", "").alias("wanted"))
+    wanted = manifest.select("chapter_id", "panel_id", F.regexp_replace(F.col("path"), r"^(\./|/)+", "").alias("wanted"))
     return wanted.join(files, F.col("wanted") == F.col("at"), "left").select("chapter_id", "panel_id", "content")
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,37 @@ def test_words_are_kept_and_numbered(spark):
 def test_zero_gap_means_default():
     assert Params(max_vertical_gap=0).max_vertical_gap == 100
     assert Params(pause_ms=0).pause_ms == 700
+
+
+def test_one_shuffle_equals_its_parts(spark):
+    """group_into_bubbles against the operators one by one, also on boxes that are upside down, empty or repeated."""
+    rows = [(1, p, i, t, x, y, r, b) for _, p, i, t, x, y, r, b in random_panels(7, 12)]
+    rng = random.Random(8)
+    rows += [(2, p, i, f"v{i}", x := rng.randrange(600), y := rng.randrange(400), x + rng.choice([0, 30, -5]), y + rng.choice([0, 20, -40])) for p in range(6) for i in range(30)]
+    rows += [(3, 0, i, f"w{i}", 10 * (i % 70), 120 * (i // 70), 10 * (i % 70) + 9, 120 * (i // 70) + 20 + i % 3) for i in range(700)]
+    words = spark.createDataFrame(rows, SCHEMA)
+    for p in (Params(), Params(max_vertical_gap=130)):
+        whole = gr.group_into_bubbles(words, p)
+        parts = gr.build_bubbles(gr.split_clusters(gr.clustered_words(words, p), p), p).select(whole.columns)
+        assert whole.count() and whole.exceptAll(parts).count() == 0 and parts.exceptAll(whole).count() == 0
+
+
+def test_sweep_equals_all_pairs():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        n = int(rng.integers(1, 120))
+        box = rng.integers(0, 500, (n, 4))
+        box[:, 2:] = box[:, :2] + rng.integers(-10, 90, (n, 2))
+        panel = np.sort(rng.integers(0, 3, n))
+        i, j = np.triu_indices(n, 1)
+        keep = gr._close(box[i], box[j], Params()) & (panel[i] == panel[j])
+        a, b = gr.close_pairs(box, panel, Params())
+        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(zip(i[keep].tolist(), j[keep].tolist(), strict=True))
+
+
+def test_a_panel_of_twenty_thousand_words():
+    n = 20_000
+    x, y = 60 * (np.arange(n) % 100), 200 * (np.arange(n) // 100)
+    box = np.column_stack([x, y, x + 40, y + 24])
+    found = gr.bubbles_of_panels(box, np.array([0, n]), Params())
+    assert sum(map(len, found[0])) == n and len(found[0]) >= 200
