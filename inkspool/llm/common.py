@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a numpy kernel works on at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 #: Largest bitmap (in bits) that a probe filter broadcasts: 2^27 bits are 16 MB.
 #: Beyond it the filter lets more rows through to the exact join; it never drops any.

@@ -24,8 +24,8 @@ cost one pass each. Every fingerprint is a query.
 
 A bucket of more than ``LEAF`` rows that this leaves unconnected is cut again
 by ``VIEWS`` further keys of ``VIEW_BITS``, which keep 0.99 of the pairs at the
-limit and more of the closer ones. Below that, which 300 million documents
-don't reach, a pair is found if and only if it shares a key.
+limit and more of the closer ones. Below that, which takes some 100 million
+documents to pass, what shares a key and is near is always found.
 
 Groups come from large-star / small-star rounds over the found edges, so that
 chains and groups of thousands close in a few rounds.
@@ -62,7 +62,7 @@ LARGE = 256
 #: Rows from which a bucket is cut by further keys.
 LEAF, VIEW_BITS, VIEWS = 1 << 15, 12, 44
 LEADERS = 32
-PAIRS_AT_ONCE = 1 << 19
+PAIRS_AT_ONCE = 1 << 18
 #: Largest size aimed at for a partition of the search, of which each table has as many as it needs.
 PART_BYTES = 48 << 20
 SEED = 20240229
