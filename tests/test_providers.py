@@ -1,5 +1,6 @@
 import struct
 
+import pyarrow as pa
 import pytest
 
 from inkspool.operators import audio
@@ -89,3 +90,39 @@ def test_stitch(spark):
     got = {r.chapter_id: r for r in audio.stitch(c, wav, "wav").collect()}
     assert (got[1].duration_ms, got[2].duration_ms) == (1200, 100)
     assert wav.duration_ms(bytes(got[1].audio)) == 1200
+
+
+class Caught:
+    """Stands in for a table, and keeps the function that its batches go through."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+
+class Long(audio.StubSpeech):
+    def __init__(self):
+        self.calls = 0
+
+    def speak(self, text, voice):
+        self.calls += 1
+        return audio.WavCodec.silence(60_000)
+
+
+def test_audio_is_passed_on_in_small_batches(spark):
+    texts, speech, chapters = Caught(), Long(), Caught()
+    audio.clips(texts, speech, keep_errors=True)
+    batch = pa.RecordBatch.from_arrays([pa.array([i // 10 for i in range(100)]), pa.array(range(100), pa.int32()), pa.array(["a"] * 100)], ["chapter_id", "reading_order", "text"])
+    found = texts.run([batch])
+    got = [next(found)]
+    assert speech.calls < 30  # the next clips aren't made before they are wanted
+    got += found
+    assert sum(b.num_rows for b in got) == speech.calls == 100 and all(b.nbytes < audio.AUDIO_AT_ONCE + 2_000_000 for b in got)
+    assert [x for b in got for x in b.column(1).to_pylist()] == list(range(100))
+    audio.stitch(chapters, audio.WavCodec(), "wav")
+    out = list(chapters.run([b.select(["chapter_id", "audio"]) for b in got]))
+    assert [(r["chapter_id"], r["clips"], r["duration_ms"]) for b in out for r in b.to_pylist()] == [(k, 10, 10 * 60_000 + 9 * 700) for k in range(10)]
+    assert len(out) == 10
