@@ -163,7 +163,7 @@ def merge(bubbles: DataFrame, panels: DataFrame, p: Params = DEFAULTS) -> DataFr
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
         return pa.table({n: pa.array([x[n] for x in out], t) for n, t in zip(names, types, strict=True)})
 
-    return map_groups(rows, ["chapter_id"], ["panel_id"], run, MERGED)
+    return map_groups(rows, ["chapter_id"], ["panel_id"], run, MERGED, most=512)  # panels; they become Python objects
 
 
 def merge_native(bubbles: DataFrame, panels: DataFrame, p: Params = DEFAULTS) -> DataFrame:

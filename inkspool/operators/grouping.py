@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..params import DEFAULTS, Params
-from .groups import map_groups
+from .groups import map_groups, runs_of_groups
 
 PANEL = ["chapter_id", "panel_id"]
 BOX = ["left", "top", "right", "bottom"]
@@ -57,7 +57,9 @@ def smallest_member(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 
 #: Pairs of words that are tested at a time.
-PAIRS_AT_ONCE = 1 << 19
+PAIRS_AT_ONCE = 1 << 17
+#: Words that are grouped at a time; a panel that has more is taken alone.
+WORDS_AT_ONCE = 1 << 15
 
 
 CLUSTER_SCHEMA = "chapter_id long, panel_id int, word_idx int, cluster_id int"
@@ -176,6 +178,23 @@ def bubbles_of_panels(box: np.ndarray, bounds: np.ndarray, p: Params) -> list[li
     return out
 
 
+def bubble_lists(sides: list[pa.Array], p: Params) -> pa.Array:
+    """``bubbles_of_panels`` on lists of the words' sides, one a panel; of few panels at a time, so that memory doesn't follow the batch."""
+    bounds = sides[0].offsets.to_numpy().astype(np.int64)
+    bounds = bounds - bounds[0]
+    none = np.zeros(0, np.int32)
+    places, sizes, counts = [none], [none], [none]
+    for a, e in runs_of_groups(bounds, WORDS_AT_ONCE):
+        box = np.column_stack([x.slice(a, e - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in sides])
+        found = bubbles_of_panels(box, bounds[a : e + 1] - bounds[a], p)
+        words_ = [w for panel in found for w in panel]
+        places.append(np.concatenate([none, *words_]).astype(np.int32))
+        sizes.append(np.array([len(w) for w in words_], np.int32))
+        counts.append(np.array([len(x) for x in found], np.int32))
+    lists = lambda n, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(n))].astype(np.int32)), values)
+    return lists(counts, lists(sizes, pa.array(np.concatenate(places))))
+
+
 def clusters(words: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """JOIN1 and JOIN2 in one: (chapter_id, panel_id, word_idx, cluster_id), cluster_id the smallest word_idx.
 
@@ -282,13 +301,7 @@ def group_into_bubbles(words: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
     @F.arrow_udf("array<array<int>>")
     def bubbles(left: pa.Array, top: pa.Array, right: pa.Array, bottom: pa.Array) -> pa.Array:
-        bounds = left.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        box = np.column_stack([x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (left, top, right, bottom)])
-        found = bubbles_of_panels(box, bounds, p)
-        words_ = [w for panel in found for w in panel]
-        inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(w) for w in words_])].astype(np.int32)), pa.array(np.concatenate([*words_, np.zeros(0, np.int64)]).astype(np.int32)))
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)), inner)
+        return bubble_lists([left, top, right, bottom], p)
 
     word = F.struct("word_idx", "text", *BOX)
     panels = words.groupBy(*PANEL).agg(F.array_sort(F.collect_list(word)).alias("ws"))

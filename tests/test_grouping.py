@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inkspool.operators import grouping as gr
+from inkspool.operators.groups import map_groups
 from inkspool.params import Params
 
 SCHEMA = "chapter_id long, panel_id int, word_idx int, text string, left int, top int, right int, bottom int"
@@ -161,3 +163,41 @@ def test_a_panel_of_twenty_thousand_words():
     box = np.column_stack([x, y, x + 40, y + 24])
     found = gr.bubbles_of_panels(box, np.array([0, n]), Params())
     assert sum(map(len, found[0])) == n and len(found[0]) >= 200
+
+
+def test_panels_are_grouped_in_runs_of_few_words(monkeypatch):
+    rng, seen, inner = np.random.default_rng(1), [], gr.bubbles_of_panels
+    n = rng.integers(0, 40, 60)
+    low = rng.integers(0, 900, (n.sum(), 2))
+    box = np.column_stack([low, low + rng.integers(5, 60, (n.sum(), 2))]).astype(np.int32)
+    bounds = np.r_[0, np.cumsum(n)]
+    want = [[w.tolist() for w in panel] for panel in inner(box.astype(np.int64), bounds, Params())]
+    monkeypatch.setattr(gr, "bubbles_of_panels", lambda box, bounds, p: seen.append(len(box)) or inner(box, bounds, p))
+    monkeypatch.setattr(gr, "WORDS_AT_ONCE", 100)
+    sides = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(box[:, k])) for k in range(4)]
+    assert gr.bubble_lists(sides, Params()).to_pylist() == want
+    assert sum(seen) == n.sum() and max(seen) <= 100
+    assert gr.bubble_lists([x.slice(7, 9) for x in sides], Params()).to_pylist() == want[7:16]
+    assert gr.bubble_lists([x.slice(0, 0) for x in sides], Params()).to_pylist() == []
+
+
+def test_groups_come_whole_and_few_at_a_time():
+    class Caught:
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+    df, calls = Caught(), []
+
+    def fn(table, bounds):
+        calls.append((len(table), len(bounds) - 1))
+        return pa.table({"k": [table.column("k")[a].as_py() for a in bounds[:-1].tolist()], "n": np.diff(bounds)})
+
+    map_groups(df, ["k"], [], fn, "k long, n long", 20)
+    k = np.sort(np.r_[np.random.default_rng(2).integers(0, 50, 300), np.full(500, 25)])  # one group over many batches
+    out = [r for b in df.run(pa.RecordBatch.from_arrays([pa.array(x)], ["k"]) for x in np.array_split(k, 12)) for r in b.to_pylist()]
+    assert [(r["k"], r["n"]) for r in out] == [(int(a), int(b)) for a, b in zip(*np.unique(k, return_counts=True), strict=True)]
+    assert all(n <= 20 or groups == 1 for n, groups in calls)
