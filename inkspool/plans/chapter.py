@@ -47,7 +47,8 @@ def process(pages: DataFrame, reader: ocr.OcrProvider, speaker: audio.SpeechProv
     provider isn't configured; 500 if no clip could be made. ``sizes``
     (chapter_id, panel_id, width, height) stands in for the images' headers.
     What providers return is written once, so that a lost executor doesn't make
-    them work again.
+    them work again; clips and chapters are packed until the end, so that the
+    JVM holds no audio while it sorts and joins.
     """
     none = lambda name: F.lit(None).alias(name)
     zeros = [F.lit(0).cast("long").alias(c) for c in ("n_words", "n_bubbles", "n_texts", "clips")]
@@ -70,11 +71,11 @@ def process(pages: DataFrame, reader: ocr.OcrProvider, speaker: audio.SpeechProv
     merged = continuation.merge(dialogue, good, p)
     spoken = merged.select("chapter_id", "bubble_idx", for_speech(F.col("text")).alias("text")).where("text <> ''")
     texts = checkpointed(audio.numbered_texts(spoken, ["bubble_idx"]).select("chapter_id", "reading_order", "text"))
-    clips = checkpointed(audio.clips(texts, speaker, p=p))
-    done = status(good, words, dialogue, texts, p).join(audio.stitch(clips, codec, audio_format, p), "chapter_id", "left")
+    clips = checkpointed(audio.clips(texts, speaker, p=p, pack=True))
+    done = status(good, words, dialogue, texts, p).join(audio.stitch(clips, codec, audio_format, p, pack=True), "chapter_id", "left")
     dumb = (F.col("status") == 200) & F.col("clips").isNull()
     made = done.withColumns({"status": F.when(dumb, 500).otherwise(F.col("status")), "error": F.when(dumb, "no audio").otherwise(F.col("error")), "clips": F.coalesce("clips", F.lit(0).cast("long"))})
-    return _typed(made).unionByName(_typed(refused.select("chapter_id", "n_images", *zeros, "status", "error", *silent)))
+    return audio.unpack(_typed(made)).unionByName(_typed(refused.select("chapter_id", "n_images", *zeros, "status", "error", *silent)))
 
 
 def _typed(df: DataFrame) -> DataFrame:

@@ -119,3 +119,13 @@ def test_settings(tmp_path, monkeypatch):
     monkeypatch.setenv("INKSPOOL_TTS_KEY", "k"), monkeypatch.setenv("INKSPOOL_TTS_VOICE", "v"), monkeypatch.setenv("INKSPOOL_PAUSE_MS", "250")
     assert Params.from_env().tts_configured and Params.from_env().pause_ms == 250
     assert sum(Params(text_weights={k: 2 * v for k, v in TEXT_WEIGHTS.items()}).text_weights.values()) == pytest.approx(1)
+
+
+def test_audio_is_packed_up_to_the_last_step(spark, monkeypatch):
+    """What is written once, shuffled and joined is short, whatever the length of the audio."""
+    kept, write = [], chapter.checkpointed
+    monkeypatch.setattr(chapter, "checkpointed", lambda df: kept.append(write(df)) or kept[-1])
+    one = run(spark, ROWS[:2])[1]
+    longest = kept[-1].agg(F.max(F.length("audio"))).first()[0]
+    assert len(one.audio) > 100_000 and longest < 2_000 and audio.WavCodec().duration_ms(bytes(one.audio)) == one.duration_ms
+    assert [audio.unpacked(audio.packed(x)) for x in (b"", b"a", bytes(10**6))] == [b"", b"a", bytes(10**6)]
