@@ -47,22 +47,43 @@ def non_ascii_share(text: Column) -> Column:
     return lng.ratio(F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")), F.length(shown))
 
 
-def with_box_features(df: DataFrame, image_area: Column, text: str = "text", box: g.Box | None = None) -> DataFrame:
-    """CLS1: adds ``features``, the ten scores (null for a time stamp but for five zeros) and the raw values.
+def _of_text(df: DataFrame, text: str) -> DataFrame:
+    """Adds what CLS1 and LNG7 need to know of a text without its box.
 
     The cleaned text and its tokens are columns of their own, so that no
     feature computes them again.
     """
-    box = box or g.Box.of()
-    s, p, tok = F.col("__t"), F.col("__p"), F.col("__tok")
-    df = computed(df, __t=strip(F.col(text)))
+    s, p, tok, t = F.col("__t"), F.col("__p"), F.col("__tok"), F.col(text)
+    df = computed(df, __t=strip(t))
     df = computed(df, __p=for_classification(s))
     df = computed(df, __tok=tokens(p))
-    df = computed(
-        df, __stamp=is_timestamp(s), __n=F.size(words(s)), __area=g.area_ratio(box, image_area), __dens=g.text_density(s, box), __asp=g.aspect_ratio(box),
+    return computed(
+        df, __stamp=is_timestamp(s), __n=F.size(words(s)),
         __dict=lng.dictionary_ratio(p, tok), __alpha=lng.alphabet_ratio(p), __freq=lng.word_frequency(p, tok), __tri=lng.trigram_score(p), __noise=lng.ocr_noise(p),
         __foreign=non_ascii_share(s) > 0.5, __ends=F.coalesce(F.right(s, F.lit(1)).isin(".", "!", "?", "…"), F.lit(False)), __any=s.rlike(r"[.!?,;:—\-~]"), __ui=contains_any(F.lower(s), lexicon.UI_WORDS), __warn=contains_any(F.lower(s), lexicon.WARNING_WORDS),
-    )
+        __short=F.array(F.size(words(t)) <= 2, *lng.short_dialogue(t)),
+    ).drop("__p", "__tok")
+
+
+def with_box_features(df: DataFrame, image_area: Column, text: str = "text", box: g.Box | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """CLS1: adds ``features``, the ten scores (null for a time stamp but for five zeros) and the raw values.
+
+    ``texts`` is for texts that repeat, such as single words: a table whose
+    column ``text`` has all of them, in any number. Each is then judged once,
+    and rows are joined to what was found.
+    """
+    return _box_features(df, image_area, text, box, texts).drop("__short")
+
+
+def _box_features(df: DataFrame, image_area: Column, text: str, box: g.Box | None, texts: DataFrame | None) -> DataFrame:
+    box = box or g.Box.of()
+    s = F.col("__t")
+    if texts is None:
+        df = _of_text(df, text)
+    else:
+        known = _of_text(texts.select(F.col(text).alias("__key")).distinct(), "__key")
+        df = df.join(known, F.col(text).eqNullSafe(F.col("__key")), "left").drop("__key")
+    df = computed(df, __area=g.area_ratio(box, image_area), __dens=g.text_density(s, box), __asp=g.aspect_ratio(box))
     a, n, d, r = (F.col(c) for c in ("__area", "__n", "__dens", "__asp"))
     dic, alp, fre = F.col("__dict"), F.col("__alpha"), F.col("__freq") / 5.0
     ui, foreign, ends = F.col("__ui"), F.col("__foreign"), F.col("__ends")
@@ -89,7 +110,7 @@ def with_box_features(df: DataFrame, image_area: Column, text: str = "text", box
     late = {"raw_dict_ratio": dic, "raw_alpha_ratio": alp, "raw_freq_score": F.col("__freq"), "raw_trigram": F.col("__tri"), "raw_noise": F.col("__noise")}
     fields += [F.when(~stamp, v).alias(k) for k, v in late.items()]
     fields.append(stamp.alias("is_timestamp"))
-    return computed(df, features=F.struct(*fields)).drop("__t", "__p", "__tok", "__stamp", "__n", "__area", "__dens", "__asp", "__dict", "__alpha", "__freq", "__tri", "__noise", "__foreign", "__ends", "__any", "__ui", "__warn")
+    return computed(df, features=F.struct(*fields)).drop("__t", "__stamp", "__n", "__area", "__dens", "__asp", "__dict", "__alpha", "__freq", "__tri", "__noise", "__foreign", "__ends", "__any", "__ui", "__warn")
 
 
 def weighted(features: Column, weights: dict[str, float]) -> Column:
@@ -97,12 +118,10 @@ def weighted(features: Column, weights: dict[str, float]) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(w) * F.coalesce(features[k], F.lit(0.0)) for k, w in weights.items()])
 
 
-def score_boxes(df: DataFrame, image_area: Column, p: Params = DEFAULTS, text: str = "text") -> DataFrame:
-    """CLS4: adds features, score and is_text_box. Texts of at most two words get their boosts (LNG7)."""
-    df = with_box_features(df, image_area, text)
-    f, t = F.col("features"), F.col(text)
-    short = F.size(words(t)) <= 2
-    df = computed(df, __short=F.array(short, *lng.short_dialogue(t)))
+def score_boxes(df: DataFrame, image_area: Column, p: Params = DEFAULTS, text: str = "text", texts: DataFrame | None = None) -> DataFrame:
+    """CLS4: adds features, score and is_text_box. Texts of at most two words get their boosts (LNG7). ``texts`` as in CLS1."""
+    df = _box_features(df, image_area, text, None, texts)
+    f = F.col("features")
     short, known, loud = (F.col("__short")[i] for i in range(3))
     f2 = f.withField("word_count", F.when(short & known, F.greatest(f["word_count"], F.lit(3.0))).otherwise(f["word_count"]))
     f2 = f2.withField("dictionary_ratio", F.when(short & known, F.lit(1.0)).otherwise(f["dictionary_ratio"]))
@@ -113,9 +132,9 @@ def score_boxes(df: DataFrame, image_area: Column, p: Params = DEFAULTS, text: s
     return df.withColumn("is_text_box", F.col("score") >= p.box_threshold)
 
 
-def filter_boxes(df: DataFrame, image_area: Column, p: Params = DEFAULTS, text: str = "text") -> DataFrame:
+def filter_boxes(df: DataFrame, image_area: Column, p: Params = DEFAULTS, text: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """CLS5, CLS6: rows (words or bubbles) that are dialogue, with their columns."""
-    return score_boxes(df, image_area, p, text).where("is_text_box").select(*df.columns)
+    return score_boxes(df, image_area, p, text, texts).where("is_text_box").select(*df.columns)
 
 
 def normalized_text_features(f: Column) -> Column:

@@ -40,3 +40,14 @@ def test_weights():
 def test_zero_boxes(spark):
     (s, _, f), (s2, _, f2) = scores(spark, [("Hi you", 0, 0), ("", 10, 10)], image=0)
     assert f.raw_aspect_ratio == 1.0 and f.raw_density == 0.0 and f2.raw_dict_ratio == 0.0
+
+
+def test_texts_that_repeat_are_judged_once(spark, monkeypatch):
+    words = ["STOP!", "NO", None, "", " ", "26:20", "été", "Hey, what are you doing?", "NO "] * 3
+    df = spark.createDataFrame([(i, t, 0, 0, 60 + 40 * i, 30) for i, t in enumerate(words)], "i int, text string, left int, top int, right int, bottom int")
+    given, inner = [], c._of_text
+    monkeypatch.setattr(c, "_of_text", lambda df, text: given.append(df) or inner(df, text))
+    want = sorted(map(repr, c.score_boxes(df, F.lit(1e6)).collect()))
+    got = c.score_boxes(df, F.lit(1e6), texts=df.select("text"))
+    assert sorted(map(repr, got.select(*df.columns, "features", "score", "is_text_box").collect())) == want
+    assert [x.count() for x in given] == [27, 9]
