@@ -67,3 +67,25 @@ def test_dictionary_and_short_dialogue(spark):
     known = apply(spark, lambda t: lng.short_dialogue(t)[0], ["NO", "OH NO", "Stop!", "garden"])
     assert known == [True, False, True, False]
     assert apply(spark, lng.ocr_noise, ["|||||||", "-------", "HELLO THERE"])[0] == 1.0
+
+
+def test_rules_on_pieces_equal_rules_on_the_whole(spark):
+    import random
+
+    rng = random.Random(5)
+    plain = ["the", "a", "word", "über", "él", "É", "don't", "sooo", "aaab", "IT!!", "so?!", "end.", "one,", "Zz", "I", "İs", "σΣ"]
+    odd = ["x9", "9x", "h1S", "A0B", "***", "*", "&", "%%%", "|", "-", "--", "a--b", "—", "…", "...", "a..b", "a.b", "!!!!", ".!!", ".A", "'", "'" * 4, "[x]", "~", "5", "안녕", "\u0301", "\x01", "^", "+"]
+    gaps = [" "] * 12 + ["\n", "  ", "\n\n", "\t", "\u00a0", "", " \n"]
+    texts = ["".join(rng.choice(plain if rng.random() < share else odd) + rng.choice(gaps) for _ in range(rng.randrange(1, 30))) for share in (0.5, 0.8, 0.95) for _ in range(3000)]
+    texts += ["", " ", "\n", "the word " * 100_000, None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = F.col("text")
+    whole = txt.fix_corruptions(txt.limit_repeats(txt._normalize(txt.fix_ocr_errors(txt.clean_artifacts(F.lower(c))))))
+    bad = df.where(~txt.normalize(c).eqNullSafe(txt._normalize(c)) | ~txt.for_classification(c).eqNullSafe(whole)).collect()
+    assert not bad
+
+
+def test_rules_see_no_plain_words(spark):
+    text = "It is said: plain words,\nand so on, take no time but ab12 does, and so do the last."
+    got = spark.range(1).select(txt.piecewise(F.lit(text), F.upper, txt.one_line)).first()[0]
+    assert got == "IT is said: plain words, and so on, take no time but AB12 DOES, AND so do the LAST."
